@@ -47,6 +47,12 @@ def ratio(num: Column, den: Column, scale: int = 3) -> Column:
     return F.round(q, scale).cast("double")
 
 
+def ratio_dec(num: Column, den: Column, scale: int = 3) -> Column:
+    """As :func:`ratio` but kept decimal, for exact differences of rounded ratios."""
+    q = num.cast(WIDE_INT) / F.nullif(den, F.lit(0)).cast(WIDE_INT)
+    return F.round(q, scale)
+
+
 def avg_round(c: Column | str, scale: int = 1) -> Column:
     """ROUND(AVG(c), scale) with an exact decimal mean (A7); nulls ignored."""
     c = F.col(c) if isinstance(c, str) else c

@@ -23,3 +23,19 @@ star("Q33")(season.team_season_stats_view)
 star("Q34")(season.season_metadata)
 star("A9")(season.minimum_games)
 
+
+# --- shot charts ---------------------------------------------------------------
+from statlake.plans import shots  # noqa: E402
+
+star("Q11")(shots.shot_players)
+star("Q12")(shots.shot_action_types)
+star("Q13")(shots.shot_games)
+star("Q14")(shots.shot_export_rows)
+star("Q15")(shots.shot_summary)
+star("Q16")(shots.league_shot_context)
+star("Q17")(shots.shot_sample)
+star("Q18")(shots.shot_zones)
+star("Q19")(shots.shot_profile)
+star("Q20")(lambda t: shots.best_lowest_area(shots.shot_profile(t)))
+star("Q35")(lambda t: shots.shot_heatmap(shots.shot_sample(t)))
+star("Q37")(lambda t: shots.shot_compare(shots.shot_zones(t), shots.player_team_pairs(t)))

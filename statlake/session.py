@@ -19,6 +19,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # per-group top-k (row_number() <= k, k up to 10,000 sampled shots) gets a
+    # partial WindowGroupLimit before the shuffle, so no task receives a whole group
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
