@@ -39,3 +39,22 @@ star("Q19")(shots.shot_profile)
 star("Q20")(lambda t: shots.best_lowest_area(shots.shot_profile(t)))
 star("Q35")(lambda t: shots.shot_heatmap(shots.shot_sample(t)))
 star("Q37")(lambda t: shots.shot_compare(shots.shot_zones(t), shots.player_team_pairs(t)))
+
+# --- browse / paging -----------------------------------------------------------
+from statlake.plans import browse  # noqa: E402
+
+star("Q1")(browse.seasons)
+star("Q2")(browse.dataset_status)
+star("Q3")(browse.readiness)
+star("Q4")(browse.teams)
+star("Q7")(browse.players)
+star("F6")(lambda t: browse.players(t, search="BOLT 1_", limit=500))
+star("Q10")(browse.player_game_log)
+star("Q23")(browse.games_page)
+star("Q24")(browse.game_details)
+star("Q25")(browse.boxscore_players)
+star("Q25_teams")(browse.boxscore_teams)
+star("Q26")(browse.team_game_stats_page)
+star("Q27")(browse.player_game_stats_page)
+star("Q36")(browse.scoring_trend)
+star("Q38")(browse.team_game_table)
