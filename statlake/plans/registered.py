@@ -58,3 +58,25 @@ star("Q26")(browse.team_game_stats_page)
 star("Q27")(browse.player_game_stats_page)
 star("Q36")(browse.scoring_trend)
 star("Q38")(browse.team_game_table)
+
+# --- validation: contract (V), constraints (X), quality checks (D) ----------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from statlake.operators import rules  # noqa: E402
+from statlake.plans import quality  # noqa: E402
+
+
+def _per_season(v):
+    return v.groupBy("season").agg(F.count(F.lit(1)).alias("violations"))
+
+
+for _rule in rules.TEXT_RULES:
+    star(_rule.rule_id)(lambda t, _r=_rule: _per_season(_r.fn(rules.as_text(t))))
+for _rule in rules.TYPED_RULES:
+    star(_rule.rule_id)(lambda t, _r=_rule: _per_season(_r.fn(rules.typed(rules.as_text(t)))))
+star("V22")(lambda t: rules.v22_corrections(rules.typed(rules.as_text(t))))
+star("V")(lambda t: rules.violation_counts(rules.contract_report(rules.as_text(t))).drop("detail"))
+star("X")(rules.constraint_counts)
+for _cid, _fn in quality.CHECKS.items():
+    star(_cid)(_fn)
+star("D27")(quality.quality_report)
