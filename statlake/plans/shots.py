@@ -142,22 +142,29 @@ def shot_profile(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
     one ``inline``; a single grouped aggregate (partial aggregation before the
     shuffle) replaces the product's five-way UNION ALL over a materialized CTE.
     """
-    s = subject_shots(t, f)
+    # derived labels are computed once per shot, before the 5x expansion
     area = normalized_zone("zone_basic")
     pre = F.col("game_date") < break_end("season")
+    base = enriched_shots(t).where(f.subject()).select(
+        "season", "player_id", "team_id", "shot_made", "shot_type", "venue", "opponent_name",
+        area.alias("area"),
+        F.date_format("game_date", "MMM yyyy").alias("month_label"),
+        F.date_format("game_date", "yyyy-MM").alias("month_key"),
+        pre.alias("pre_break"),
+    ).withColumn("area_key", area_sort_key(F.col("area")))
     dims = F.array(
-        F.struct(F.lit("zone").alias("dimension"), area.alias("label"), area_sort_key(area).alias("sort_key")),
+        F.struct(F.lit("zone").alias("dimension"), F.col("area").alias("label"), F.col("area_key").alias("sort_key")),
         F.struct(F.lit("venue").alias("dimension"), F.col("venue").alias("label"),
                  F.when(F.col("venue") == "Home", "1").otherwise("2").alias("sort_key")),
-        F.struct(F.lit("month").alias("dimension"), F.date_format("game_date", "MMM yyyy").alias("label"),
-                 F.date_format("game_date", "yyyy-MM").alias("sort_key")),
+        F.struct(F.lit("month").alias("dimension"), F.col("month_label").alias("label"), F.col("month_key").alias("sort_key")),
         F.struct(F.lit("opponent").alias("dimension"), F.col("opponent_name").alias("label"),
                  F.col("opponent_name").alias("sort_key")),
         F.struct(F.lit("season_phase").alias("dimension"),
-                 F.when(pre, "Pre All-Star").otherwise("Post All-Star").alias("label"),
-                 F.when(pre, "1").otherwise("2").alias("sort_key")),
+                 F.when(F.col("pre_break"), "Pre All-Star").otherwise("Post All-Star").alias("label"),
+                 F.when(F.col("pre_break"), "1").otherwise("2").alias("sort_key")),
     )
-    rows = s.select(*SUBJECT, "shot_made", "shot_type", F.inline(dims))
+    per_dim = base.select("season", "player_id", "team_id", "shot_made", "shot_type", F.inline(dims))
+    rows = with_subjects(per_dim, f).select(*SUBJECT, "shot_made", "shot_type", "dimension", "label", "sort_key")
     n = F.count(F.lit(1))
     makes = F.count_if(F.col("shot_made"))
     made3 = F.count_if(F.col("shot_made") & (F.col("shot_type") == THREE_POINT))
