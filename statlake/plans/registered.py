@@ -80,3 +80,24 @@ star("X")(rules.constraint_counts)
 for _cid, _fn in quality.CHECKS.items():
     star(_cid)(_fn)
 star("D27")(quality.quality_report)
+
+# --- official aggregate cross-check (G) ---------------------------------------------
+from statlake.operators import crosscheck as cc  # noqa: E402
+
+
+def _staged_feeds(t):
+    """Provider feeds staged from the data: the local totals in the provider layout with
+    its typical one-count corrections (FGA/FG3A off by one on alternate game counts, and
+    points off by one for every seventh team id) so that both tolerance paths are exercised."""
+    lt = cc.local_team_totals(t)
+    lt = lt.withColumn("fga", F.col("fga") + F.pmod(F.col("games_played"), F.lit(2))).withColumn(
+        "points", F.col("points") + F.when(F.pmod(F.col("team_id"), F.lit(7)) == 0, 1).otherwise(0))
+    lp = cc.local_player_totals(t).withColumn("fg3a", F.col("fg3a") + F.pmod(F.col("games_played"), F.lit(2)))
+    return (cc.as_feed(lt, "team_id", "TEAM_ID", cc.TEAM_STATS),
+            cc.as_feed(lp, "player_id", "PLAYER_ID", cc.PLAYER_STATS))
+
+
+star("G1")(cc.local_team_totals)
+star("G2")(cc.local_player_totals)
+star("G4")(lambda t: cc.crosscheck(t, *_staged_feeds(t)))
+star("G5")(lambda t: cc.report_counts(cc.crosscheck(t, *_staged_feeds(t))))
