@@ -101,3 +101,14 @@ star("G1")(cc.local_team_totals)
 star("G2")(cc.local_player_totals)
 star("G4")(lambda t: cc.crosscheck(t, *_staged_feeds(t)))
 star("G5")(lambda t: cc.report_counts(cc.crosscheck(t, *_staged_feeds(t))))
+
+# --- ETL transforms, end to end on provider-shaped rows (T) ---------------------------
+from statlake.operators import transforms as tf  # noqa: E402
+from statlake.sources.testviews import provider_feeds  # noqa: E402
+
+star("T1")(lambda t: tf.transform_teams(provider_feeds(t)["teams"]))
+star("T2")(lambda t: tf.transform_players(provider_feeds(t)["players"]))
+star("T3")(lambda t: tf.transform_games(provider_feeds(t)["team_log"], F.col("season")))
+star("T4")(lambda t: tf.transform_team_game_stats(provider_feeds(t)["team_log"], F.col("season")))
+star("T5")(lambda t: tf.transform_player_game_stats(provider_feeds(t)["player_log"], F.col("season")))
+star("T6")(lambda t: tf.transform_shot_attempts(provider_feeds(t)["shots"], F.col("season")))

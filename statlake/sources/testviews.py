@@ -253,3 +253,42 @@ def _seasons(games: DataFrame, pgs: DataFrame, shots: DataFrame) -> DataFrame:
             F.sha2(F.col("season"), 256).alias("manifest_sha256"),
         )
     )
+
+
+def provider_feeds(t: Tables) -> dict[str, DataFrame]:
+    """Provider-shaped rows (upper-case headers, text cells) re-expressed from the star schema,
+    to run the ETL transforms end to end on the driver data: team and player game logs,
+    the player list, the team records and shot detail."""
+    txt = lambda c: F.col(c).cast("string")
+    from statlake.operators.transforms import BOX_RENAMES, SHOT_RENAMES
+
+    abbr = t.teams.select(F.col("id").alias("team_id"), F.col("abbreviation").alias("TEAM_ABBREVIATION"))
+    opp = t.teams.select(F.col("id").alias("opponent_id"), F.col("abbreviation").alias("opp_abbr"))
+    g = t.games.select(F.col("id").alias("game_id"), "game_date", "home_team_id", "away_team_id")
+    tgs = (t.team_game_stats.join(g, "game_id").join(abbr, "team_id")
+           .withColumn("opponent_id", F.when(F.col("is_home"), F.col("away_team_id")).otherwise(F.col("home_team_id")))
+           .join(opp, "opponent_id"))
+    matchup = F.concat(F.col("TEAM_ABBREVIATION"), F.when(F.col("is_home"), F.lit(" vs. ")).otherwise(F.lit(" @ ")),
+                       F.col("opp_abbr"))
+    team_log = tgs.select(
+        F.col("season"), F.col("season").alias("source_file"),
+        F.when(F.col("is_home"), 0).otherwise(1).alias("row_number"),
+        txt("game_id").alias("GAME_ID"), txt("game_date").alias("GAME_DATE"), matchup.alias("MATCHUP"),
+        txt("team_id").alias("TEAM_ID"), "TEAM_ABBREVIATION",
+        *[txt(v).alias(k) for k, v in BOX_RENAMES.items()],
+    )
+    player_log = t.player_game_stats.select(
+        "season", txt("game_id").alias("GAME_ID"), txt("player_id").alias("PLAYER_ID"), txt("team_id").alias("TEAM_ID"),
+        *[txt(v).alias(k) for k, v in BOX_RENAMES.items()],
+    )
+    players = t.players.select(
+        txt("id").alias("PERSON_ID"), F.col("full_name").alias("DISPLAY_FIRST_LAST"),
+        F.when(F.col("last_name").isNotNull(),
+               F.concat_ws(", ", F.col("last_name"), F.col("first_name"))).alias("DISPLAY_LAST_COMMA_FIRST"),
+        F.when(F.col("is_active"), "1").otherwise("0").alias("ROSTERSTATUS"),
+    )
+    shots = t.shot_attempts.select(
+        "season", *[txt(v).alias(k) for k, v in SHOT_RENAMES.items() if k != "SHOT_MADE_FLAG"],
+        F.when(F.col("shot_made"), "1").otherwise("0").alias("SHOT_MADE_FLAG"),
+    )
+    return {"teams": t.teams, "players": players, "team_log": team_log, "player_log": player_log, "shots": shots}
