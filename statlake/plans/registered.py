@@ -112,3 +112,27 @@ star("T3")(lambda t: tf.transform_games(provider_feeds(t)["team_log"], F.col("se
 star("T4")(lambda t: tf.transform_team_game_stats(provider_feeds(t)["team_log"], F.col("season")))
 star("T5")(lambda t: tf.transform_player_game_stats(provider_feeds(t)["player_log"], F.col("season")))
 star("T6")(lambda t: tf.transform_shot_attempts(provider_feeds(t)["shots"], F.col("season")))
+
+# --- table mutations and publication gates (K, M, U3, A14) --------------------------
+from statlake.plans import publish as pub  # noqa: E402
+
+
+def _latest_season(t) -> str:
+    """The most recent season of the games table (one scalar read)."""
+    return t.games.agg(F.max("season").alias("s")).first().s
+
+
+def _k4(t):
+    latest = _latest_season(t)
+    refreshed = t.players.join(t.player_game_stats.where(F.col("season") == latest).select(
+        F.col("player_id").alias("id")).distinct(), "id", "left_semi").withColumn("full_name", F.upper("full_name"))
+    return pub.upsert(t.players, refreshed, ["id"])
+
+
+star("K4")(_k4)
+star("K5")(lambda t: pub.prune_not_in(t.players, t.player_game_stats.select(F.col("player_id").alias("id")), ["id"]))
+star("K7")(lambda t: pub.delete_season_by_game(t, _latest_season(t)).shot_attempts)
+star("M3")(pub.integrity_violations)
+star("U3")(lambda t: pub.residue(t, _latest_season(t)))
+star("A14")(pub.season_ids)
+star("M6")(pub.restored_matches)
