@@ -136,3 +136,54 @@ star("M3")(pub.integrity_violations)
 star("U3")(lambda t: pub.residue(t, _latest_season(t)))
 star("A14")(pub.season_ids)
 star("M6")(pub.restored_matches)
+
+# --- operational event jobs (R) -----------------------------------------------------
+from statlake.plans.catalog import raw  # noqa: E402
+from statlake.sources import testviews as tv  # noqa: E402
+from statlake.streaming import events as ev  # noqa: E402
+
+RATE_WINDOW_SECONDS = 86400
+RATE_LIMIT = 2
+RETENTION_DAYS = 30
+
+
+@raw("R1")
+def _r1(spark, sf_dir):
+    accepted, _ = ev.usage_allowlist(tv.usage_events(spark, sf_dir))
+    return ev.usage_counts(accepted)
+
+
+@raw("R1_quarantine")
+def _r1q(spark, sf_dir):
+    return ev.usage_allowlist(tv.usage_events(spark, sf_dir))[1]
+
+
+@raw("R2")
+def _r2(spark, sf_dir):
+    return ev.request_metrics(tv.request_log(spark, sf_dir))
+
+
+@raw("R3")
+def _r3(spark, sf_dir):
+    return ev.rate_limit(tv.request_log(spark, sf_dir), RATE_WINDOW_SECONDS, RATE_LIMIT)
+
+
+@raw("R4")
+def _r4(spark, sf_dir):
+    r = tv.request_log(spark, sf_dir)
+    return r.select("request_id", ev.client_key(F.col("edge_header"), F.col("forwarded_for"), F.col("peer"),
+                                                trusted_hops=1, trust_edge=True).alias("client_key"))
+
+
+@raw("R5")
+def _r5(spark, sf_dir):
+    objects, pointers = tv.snapshot_listing(spark, sf_dir)
+    now = F.lit(tv.listing_now(spark, sf_dir)).cast("timestamp_ntz")
+    return ev.expired_snapshots(objects, pointers, now, RETENTION_DAYS)
+
+
+@raw("R6")
+def _r6(spark, sf_dir):
+    objects, pointers = tv.snapshot_listing(spark, sf_dir)
+    now = F.lit(tv.listing_now(spark, sf_dir)).cast("timestamp_ntz")
+    return ev.snapshot_freshness(objects, pointers, now)

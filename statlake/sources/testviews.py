@@ -292,3 +292,62 @@ def provider_feeds(t: Tables) -> dict[str, DataFrame]:
         F.when(F.col("shot_made"), "1").otherwise("0").alias("SHOT_MADE_FLAG"),
     )
     return {"teams": t.teams, "players": players, "team_log": team_log, "player_log": player_log, "shots": shots}
+
+
+# --- operational logs derived from the driver's `events` and `orders` tables -------------
+VIEW_CANDIDATES = ("standings", "leaders", "games", "shots", "players", "compare", "player", "game", "team",
+                   "home", "search")  # by event_id % 11; the last two are not allowlisted
+
+
+def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    views = F.array(*[F.lit(v) for v in VIEW_CANDIDATES])
+    return e.select("event_id", "ts", F.col("event_type").alias("event"),
+                    F.element_at(views, (F.pmod(F.col("event_id"), F.lit(len(VIEW_CANDIDATES))) + 1).cast("int")).alias("view"))
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per event: client = user, group/path from the event type, latency = value x 10 ms."""
+    e = _read(spark, sf_dir, "events")
+    uid, eid = F.col("user_id"), F.col("event_id")
+    return e.select(
+        eid.alias("request_id"), "ts",
+        F.concat(F.lit("c"), uid.cast("string")).alias("client"),
+        F.col("event_type").alias("group"),
+        F.concat(F.lit("/api/"), F.col("event_type")).alias("path"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+        (F.col("value") * 10).alias("duration_ms"),
+        F.when(F.col("event_type") == "click", F.concat(F.lit("203.0.113."), F.pmod(uid, F.lit(250)).cast("string")))
+        .when(F.col("event_type") == "error", F.lit("not-an-ip")).alias("edge_header"),
+        F.when(F.pmod(eid, F.lit(3)) == 1, F.concat(F.lit("198.51.100."), F.pmod(uid, F.lit(200)).cast("string")))
+        .when(F.pmod(eid, F.lit(3)) == 2, F.concat(F.lit("10.1.1."), F.pmod(eid, F.lit(250)).cast("string"),
+                                                   F.lit(", 198.51.100."), F.pmod(uid, F.lit(200)).cast("string")))
+        .alias("forwarded_for"),
+        F.concat(F.lit("192.0.2."), F.pmod(uid, F.lit(100)).cast("string")).alias("peer"),
+    )
+
+
+def snapshot_listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(objects, proven pointers): one object per order under a per-season prefix; orders with
+    status 'P' are pointer/metadata objects (.json), the rest backups (.dump). The proven copy of
+    a prefix is its most valuable order's backup, proven two days after it was written."""
+    o = _read(spark, sf_dir, "orders")
+    prefix = F.concat(F.lit("backups/"), season_label(F.to_date("o_orderdate")), F.lit("/"))
+    modified = (F.col("o_orderdate") + F.make_interval(secs=F.pmod(F.col("o_orderkey"), F.lit(86400)).cast("decimal(18,6)")))
+    objects = o.select(
+        prefix.alias("prefix"),
+        F.concat(prefix, F.lpad(F.col("o_orderkey").cast("string"), 7, "0"),
+                 F.when(F.col("o_orderstatus") == "P", ".json").otherwise(".dump")).alias("key"),
+        modified.alias("modified"), "o_totalprice")
+    pointers = (objects.where(F.col("key").endswith(".dump")).groupBy("prefix")
+                .agg(F.max_by(F.struct("key", "modified"), F.struct("o_totalprice", "key")).alias("p"))
+                .select("prefix", F.col("p.key").alias("key"), (F.col("p.modified") + F.make_interval(days=F.lit(2))).alias("proven_at")))
+    return objects.drop("o_totalprice"), pointers
+
+
+def listing_now(spark: SparkSession, sf_dir: str):
+    """Reference time for the listing: one day after the newest order date (a single scalar)."""
+    import datetime as _dt
+
+    latest = _read(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
+    return latest + _dt.timedelta(days=1)
