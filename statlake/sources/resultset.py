@@ -95,3 +95,8 @@ def land_if_absent(df: DataFrame, path: str, force: bool = False) -> None:
     """Land raw data once; an existing landing is kept unless ``force``.
     The Spark commit protocol publishes the files with ``_SUCCESS`` only when complete."""
     df.write.mode("overwrite" if force else "ignore").json(path)
+
+
+def requested_team_by_file(docs: DataFrame, pattern: str = r"team-(\d+)\.json$") -> DataFrame:
+    """(source_file, requested_team_id) from the landing file names (one part per team)."""
+    return docs.select("source_file", F.regexp_extract("source_file", pattern, 1).cast("bigint").alias("requested_team_id"))
