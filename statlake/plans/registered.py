@@ -187,3 +187,20 @@ def _r6(spark, sf_dir):
     objects, pointers = tv.snapshot_listing(spark, sf_dir)
     now = F.lit(tv.listing_now(spark, sf_dir)).cast("timestamp_ntz")
     return ev.snapshot_freshness(objects, pointers, now)
+
+# --- scalar constructs over whole tables (C6, C7, C9, C10, C17, A18) --------------------
+from statlake.functions import expr as fx  # noqa: E402
+
+star("C6")(lambda t: t.seasons.select("id", fx.season_start_year("id").alias("start_year"),
+                                      fx.season_end_year("id").alias("end_year"),
+                                      fx.season_is_valid("id").alias("valid")))
+star("C7")(lambda t: t.games.select("id", "game_date", fx.season_label("game_date").alias("season_label")))
+star("C9")(lambda t: t.games.select(
+    "id", "season", fx.break_end("season").alias("break_end"),
+    F.when(F.col("game_date") < fx.break_end("season"), "Pre All-Star").otherwise("Post All-Star").alias("phase")))
+star("C10")(lambda t: t.shot_attempts.select("game_id", "event_id", fx.normalized_zone("zone_basic").alias("area"),
+                                             fx.points_value().alias("points_value")))
+star("C17")(lambda t: t.shot_attempts.select("game_id", "event_id", fx.court_x("loc_x").alias("x"),
+                                             fx.court_y("loc_y").alias("y")))
+star("A18")(lambda t: t.shot_attempts.groupBy("season", "game_id", "player_id").agg(
+    F.count_distinct("team_id").alias("teams")).where(F.col("teams") > 1))
