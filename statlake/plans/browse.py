@@ -102,9 +102,12 @@ def players(t: Tables, search: str | None = None, active: bool | None = None,
         df = df.where(contains_ci(F.col("full_name"), search))
     if active is not None:
         df = df.where(F.col("is_active") == F.lit(active))
-    df = df.withColumn("_all", F.lit(1))
-    out = page(df, ["_all"], [F.col("full_name"), F.col("id")], limit, offset)
-    return out.drop("_all")
+    # one global page: a bounded top-(offset+limit) per partition then a merge
+    # (TakeOrderedAndProject), not a window over one key; the total is a global count
+    rows = df.orderBy(F.col("full_name"), F.col("id")).offset(offset).limit(limit)
+    rows = rows.withColumn("position", F.row_number().over(Window.orderBy("full_name", "id")).cast("bigint") + offset)
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return rows.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def player(t: Tables, player_id: int) -> DataFrame:

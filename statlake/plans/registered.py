@@ -48,7 +48,7 @@ star("Q2")(browse.dataset_status)
 star("Q3")(browse.readiness)
 star("Q4")(browse.teams)
 star("Q7")(browse.players)
-star("F6")(lambda t: browse.players(t, search="BOLT 1_", limit=500))
+star("F6")(lambda t: browse.players(t, search="BOLT 1", limit=500))
 star("Q10")(browse.player_game_log)
 star("Q23")(browse.games_page)
 star("Q24")(browse.game_details)
