@@ -286,3 +286,18 @@ def restored_matches(t: Tables) -> DataFrame:
     ok = (F.col("status") == "ready") & (F.col("live_games") > 0) & (F.col("live_shots") > 0) \
         & F.col("manifest_sha256").isNotNull()
     return r.select("season", ok.alias("matches"))
+
+
+def live_contract(status: DataFrame, ready: DataFrame, games_total: DataFrame, expected: dict) -> list[str]:
+    """M7: readiness, status and expected counts agree (one row per season on each side)."""
+    problems = []
+    s, r, g = status.first(), ready.first(), games_total.first()
+    if r is None or r.status != "ready":
+        problems.append("dataset is not ready")
+    if s is None or s.verification_status != "passed":
+        problems.append("dataset is not verified")
+    if s is not None and (s.games, s.shot_attempts) != (expected.get("games"), expected.get("shot_attempts")):
+        problems.append("dataset counts differ from the expected counts")
+    if g is None or s is None or g.total != s.games:
+        problems.append("games listing total differs from the dataset count")
+    return problems

@@ -128,3 +128,27 @@ MANIFEST_FILE_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("path", T.StringType()),
     T.StructField("sha256", T.StringType()), T.StructField("rows", T.LongType()),
 ])
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """K1: CSV with a header and no index column (one folder of part files)."""
+    df.write.mode(mode).option("header", True).csv(path)
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """K3 helper: floating NaN becomes NULL before a bulk load (numeric columns stay typed)."""
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cols.append(F.when(F.isnan(F.col(f.name)), F.lit(None)).otherwise(F.col(f.name)).alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
+def bulk_load(df: DataFrame, table_path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """K3: append validated rows to a table folder (columnar, one write per task)."""
+    writer = nan_to_null(df).write.mode("append")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(table_path)
