@@ -4,8 +4,9 @@ Subjects are exploded per shot (one player row, one team row) so a single
 grouped aggregate serves all players and teams; with a subject in the filters
 only that subject's rows are produced. League baselines (context without the
 subject) are taken from the team rows of the same aggregate when no subject is
-given: each shot has exactly one team, so summing team rows is the league, and
-the shot table is scanned once.
+given: each shot has exactly one team, so summing team rows is the league. The
+baseline and the per-subject shares are windows over the aggregated rows, so
+each plan is linear and the shot table is scanned once.
 """
 
 from __future__ import annotations
@@ -62,13 +63,21 @@ def league_context(t: Tables, f: ShotFilters = ShotFilters(), by: list[str] | No
     return ctx.groupBy(*keys).agg(ratio_dec(F.count_if(F.col("shot_made")), n, 3).alias("league_fg_pct"))
 
 
-def _league_from(agg: DataFrame, t: Tables, f: ShotFilters, by: list[str]) -> DataFrame:
-    """League baseline: from the team rows of ``agg`` when it holds every subject, else a context scan."""
+def _with_league(agg: DataFrame, t: Tables, f: ShotFilters, by: list[str]) -> DataFrame:
+    """Attach the league baseline (context without subject, no ``made`` filter).
+
+    With every subject in ``agg`` the league is the sum of its team rows per
+    (season, ``by``): a window over the aggregated rows, so the plan stays one
+    scan of the shots (a separate aggregate would be column-pruned differently
+    and rescan them). With a subject filter the context is a separate scan.
+    """
     if f.has_subject:
-        return league_context(t, f, by)
-    teams = agg.where(F.col("subject_type") == "team")
-    return teams.groupBy("season", *by).agg(
-        ratio_dec(F.sum("makes"), F.sum("attempts"), 3).alias("league_fg_pct"))
+        return agg.join(league_context(t, f, by), ["season", *by], "left")
+    w = Window.partitionBy("season", *by)
+    team = F.col("subject_type") == "team"
+    makes = F.sum(F.when(team, F.col("makes"))).over(w)
+    attempts = F.sum(F.when(team, F.col("attempts"))).over(w)
+    return agg.withColumn("league_fg_pct", ratio_dec(makes, attempts, 3))
 
 
 def shot_summary(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
@@ -76,8 +85,7 @@ def shot_summary(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
     fg_pct and the difference (both null when ``made`` is filtered, as in the product)."""
     agg = subject_shots(t, f).groupBy(*SUBJECT).agg(*_shot_aggs(dec=True))
     if f.made is None:
-        league = _league_from(agg, t, f, [])
-        out = agg.join(league, "season", "left")
+        out = _with_league(agg, t, f, [])
         diff = (F.col("fg_pct") - F.col("league_fg_pct")).cast("double")
     else:
         out = agg.withColumn("league_fg_pct", F.lit(None).cast("decimal(10,3)"))
@@ -122,8 +130,7 @@ def shot_zones(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
     total = F.sum("attempts").over(Window.partitionBy(*SUBJECT))
     out = agg.withColumn("frequency", F.coalesce(ratio(F.col("attempts"), total, 3), F.lit(0.0)))
     if f.made is None:
-        league = _league_from(agg, t, f, ZONE)
-        out = out.join(league, ["season", *ZONE], "left")
+        out = _with_league(out, t, f, ZONE)
         diff = (F.col("fg_pct") - F.col("league_fg_pct")).cast("double")
     else:
         out = out.withColumn("league_fg_pct", F.lit(None).cast("decimal(10,3)"))
