@@ -204,3 +204,4 @@ star("C17")(lambda t: t.shot_attempts.select("game_id", "event_id", fx.court_x("
                                              fx.court_y("loc_y").alias("y")))
 star("A18")(lambda t: t.shot_attempts.groupBy("season", "game_id", "player_id").agg(
     F.count_distinct("team_id").alias("teams")).where(F.col("teams") > 1))
+star("W2")(lambda t: season.leaders(t, apply_minimum=False))

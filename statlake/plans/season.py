@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statlake.functions.expr import STAT_CATEGORIES, avg_round, efg, ratio
-from statlake.operators.legs import latest_team, team_legs, with_recency
+from statlake.operators.legs import team_legs, with_recency
 from statlake.sources.tables import Tables
 
 
@@ -108,15 +108,44 @@ def _player_rates(played: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def player_season_averages(t: Tables) -> DataFrame:
-    """Q9 for every (player, season): averages over all teams, labelled with the latest team."""
+def _played_with_dates(t: Tables) -> DataFrame:
+    """Non-DNP player rows with their game's date (left join: a row without a game keeps
+    its stats but cannot be anyone's latest appearance)."""
     played = t.player_game_stats.where(F.col("minutes").isNotNull())
-    rates = _player_rates(played, ["player_id", "season"])
-    lt = latest_team(t.player_game_stats, t.games)
+    g = t.games.select(F.col("id").alias("game_id"), "game_date")
+    return played.join(g, "game_id", "left")
+
+
+def _latest_team_agg() -> F.Column:
+    """W4 inside the same aggregate: team of the latest (date, id) appearance that has a game."""
+    return F.max_by(F.when(F.col("game_date").isNotNull(), F.col("team_id")),
+                    F.struct("game_date", "game_id")).alias("team_id")
+
+
+def player_season_averages(t: Tables) -> DataFrame:
+    """Q9 for every (player, season): averages over all teams, labelled with the latest team.
+
+    Averages and the latest team come from one grouped aggregate over the
+    player rows joined to their game dates (one scan, one shuffle).
+    """
+    rows = _played_with_dates(t)
+    rates = rows.groupBy("player_id", "season").agg(
+        F.count(F.lit(1)).alias("games_played"),
+        avg_round("minutes").alias("mpg"),
+        avg_round("points").alias("ppg"),
+        avg_round("rebounds").alias("rpg"),
+        avg_round("assists").alias("apg"),
+        avg_round("steals").alias("spg"),
+        avg_round("blocks").alias("bpg"),
+        ratio(F.sum("fgm"), F.sum("fga")).alias("fg_pct"),
+        ratio(F.sum("fg3m"), F.sum("fg3a")).alias("fg3_pct"),
+        ratio(F.sum("ftm"), F.sum("fta")).alias("ft_pct"),
+        _latest_team_agg(),
+    )
     teams = t.teams.select(F.col("id").alias("team_id"), F.col("abbreviation").alias("team_abbr"))
     players = t.players.select(F.col("id").alias("player_id"), F.col("full_name").alias("player_name"))
     return (
-        rates.join(players, "player_id").join(lt, ["player_id", "season"]).join(teams, "team_id")
+        rates.join(players, "player_id").join(teams, "team_id")
         .select("player_id", "player_name", "season", "team_id", "team_abbr", "games_played", "mpg", "ppg",
                 "rpg", "apg", "spg", "bpg", "fg_pct", "fg3_pct", "ft_pct")
     )
@@ -162,32 +191,40 @@ def minimum_games(t: Tables) -> DataFrame:
     )
 
 
-def leaders(t: Tables, stats: tuple[str, ...] = STAT_CATEGORIES, limit: int = 10) -> DataFrame:
+def leaders(t: Tables, stats: tuple[str, ...] = STAT_CATEGORIES, limit: int = 10,
+            apply_minimum: bool = True) -> DataFrame:
     """Q28 for every season and stat in one pass.
 
     The five stat columns are unpivoted into (stat, v) rows, so a single
     grouped aggregate computes every category; RANK is taken before the
     per-(season, stat) top-``limit`` cut. Seasons without team rows get
     minimum_games 0 (COALESCE in the product).
+
+    ``apply_minimum=False`` ranks every player (the W2 construct: RANK with
+    gaps taken before the top-``limit`` cut) without the games threshold.
     """
-    played = t.player_game_stats.where(F.col("minutes").isNotNull())
-    long = played.select(
-        "player_id", "season",
-        F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in stats])),
+    # one aggregate per (season, player) with every category's sum and count and the
+    # latest team, then the small aggregated rows are unpivoted into (stat, value)
+    rows = _played_with_dates(t)
+    per = rows.groupBy("season", "player_id").agg(
+        F.count(F.lit(1)).alias("games_played"),
+        *[F.sum(s).alias(f"sum_{s}") for s in stats], *[F.count(s).alias(f"n_{s}") for s in stats],
+        _latest_team_agg(),
     )
-    per_player = long.groupBy("season", "stat", "player_id").agg(
-        F.count(F.lit(1)).alias("games_played"), avg_round("v").alias("value")
+    per_player = per.select(
+        "season", "player_id", "games_played", "team_id",
+        F.inline(F.array(*[F.struct(
+            F.lit(s).alias("stat"),
+            F.round(F.col(f"sum_{s}").cast("decimal(24,4)") / F.nullif(F.col(f"n_{s}"), F.lit(0)).cast("decimal(20,0)"), 1)
+            .cast("double").alias("value")) for s in stats])),
     )
     mg = minimum_games(t)
-    eligible = (
-        per_player.join(mg, "season", "left")
-        .withColumn("minimum_games", F.coalesce(F.col("minimum_games"), F.lit(0)))
-        .where(F.col("games_played") >= F.col("minimum_games"))
-    )
-    lt = latest_team(t.player_game_stats, t.games)
+    eligible = per_player.join(mg, "season", "left").withColumn(
+        "minimum_games", F.coalesce(F.col("minimum_games"), F.lit(0)) if apply_minimum else F.lit(0).cast("bigint"))
+    eligible = eligible.where(F.col("games_played") >= F.col("minimum_games"))
     teams = t.teams.select(F.col("id").alias("team_id"), F.col("abbreviation").alias("team_abbr"))
     players = t.players.select(F.col("id").alias("player_id"), F.col("full_name").alias("player_name"))
-    j = eligible.join(players, "player_id").join(lt.join(teams, "team_id"), ["player_id", "season"])
+    j = eligible.join(players, "player_id").join(teams, "team_id")
     part = Window.partitionBy("season", "stat")
     ranked = j.withColumn("rank", F.rank().over(part.orderBy(F.col("value").desc()))).withColumn(
         "position",
