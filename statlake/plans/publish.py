@@ -88,13 +88,10 @@ def build_manifest(spark: SparkSession, clean_root: str, season: str, report: di
     if report.get("status") != "passed":
         raise SeasonLifecycleError("A passing official verification report is required")
     paths = files.dataset_paths(clean_root, season)
-    digests = {r.path: r.sha256 for r in files.file_digests(spark, list(paths.values())).collect()}
     data = files.load_dataset(spark, clean_root, season)
     counts = {name: df.count() for name, df in data.items()}
-    entries = []
-    for name, p in paths.items():
-        sha = next((v for k, v in digests.items() if k.endswith(p.split("://")[-1])), None)
-        entries.append({"name": name, "path": p, "sha256": sha, "rows": counts[name]})
+    entries = [{"name": name, "path": p, "sha256": files.table_digest(spark, p), "rows": counts[name]}
+               for name, p in paths.items()]
     return {"schema_version": 3, "season": season, "season_type": "Regular Season",
             "generated_at": dt.datetime.now(dt.UTC).isoformat(), "files": entries,
             "counts": counts, "verification": {"status": report["status"], "mismatch_count": report.get("mismatch_count", 0)},
@@ -111,10 +108,8 @@ def verify_manifest(spark: SparkSession, clean_root: str, season: str, manifest:
         raise SeasonLifecycleError("Manifest file set does not match the dataset")
 
     def check_digests() -> None:
-        got = {r.path: r.sha256 for r in files.file_digests(spark, list(paths.values())).collect()}
         for name, p in paths.items():
-            sha = next((v for k, v in got.items() if k.endswith(p.split("://")[-1])), None)
-            if sha != listed[name]["sha256"]:
+            if files.table_digest(spark, p) != listed[name]["sha256"]:
                 raise SeasonLifecycleError(f"{name} digest does not match the manifest")
 
     check_digests()

@@ -124,6 +124,17 @@ def combined_digest(digests: DataFrame) -> DataFrame:
     return ordered.select("dir", F.sha2(F.array_join(F.transform("parts", lambda s: s["sha256"]), ""), 256).alias("sha256"))
 
 
+def table_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a table path: the file's own digest, or for a folder of part files the
+    digest of the part digests concatenated in path order (one row per file reaches the driver)."""
+    parts = sorted((r.path, r.sha256) for r in file_digests(spark, [path]).collect())
+    if len(parts) == 1:
+        return parts[0][1]
+    import hashlib
+
+    return hashlib.sha256("".join(sha for _, sha in parts).encode("ascii")).hexdigest()
+
+
 MANIFEST_FILE_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("path", T.StringType()),
     T.StructField("sha256", T.StringType()), T.StructField("rows", T.LongType()),

@@ -135,3 +135,58 @@ def test_snapshot_retention_and_freshness(spark):
     assert expired == {"p/09.dump", "p/11.dump"}  # newest 7 kept, proven kept, .json ignored
     f = ev.snapshot_freshness(objects, pointers, F.lit(now)).first()
     assert (f.newest_backup, f.backup_count, f.newest_backup_age_hours, f.drill_age_days, f.fresh) == ("p/00.dump", 12, 0.0, 5.0, True)
+
+
+def _write_clean(spark, seed, root):
+    from statlake.sources import files
+
+    for name, df in seed.as_dict().items():
+        if name == "seasons":
+            continue
+        rel = files.CLEAN_FILES[name].format(season=SEASON)
+        files.write_csv(df.coalesce(2), os.path.join(root, rel))
+
+
+def test_manifest_round_trip_and_tamper(spark, seed):
+    root = tempfile.mkdtemp(prefix="statlake-test-")
+    _write_clean(spark, seed, root)
+    manifest = pub.build_manifest(spark, root, SEASON, {"status": "passed", "mismatch_count": 0})
+    assert manifest["counts"]["shot_attempts"] == 295 and all(len(e["sha256"]) == 64 for e in manifest["files"])
+    data = pub.verify_manifest(spark, root, SEASON, manifest)
+    assert data["games"].count() == 10
+    with pytest.raises(pub.SeasonLifecycleError):
+        pub.build_manifest(spark, root, SEASON, {"status": "failed"})
+    games_dir = os.path.join(root, SEASON, "games.csv")
+    part = sorted(n for n in os.listdir(games_dir) if n.startswith("part-"))[0]
+    with open(os.path.join(games_dir, part), "a") as fh:
+        fh.write("0022499999,2024-12-01,2024-25,1,2,3,4\n")
+    crc = os.path.join(games_dir, f".{part}.crc")  # an outside edit leaves no Hadoop checksum behind
+    if os.path.exists(crc):
+        os.remove(crc)
+    with pytest.raises(pub.SeasonLifecycleError, match="digest"):
+        pub.verify_manifest(spark, root, SEASON, manifest)
+
+
+def test_export_csv_and_guard(spark, seed, monkeypatch):
+    from statlake.operators.shot_filters import ShotFilters
+    from statlake.plans import shots
+
+    out = os.path.join(tempfile.mkdtemp(prefix="statlake-test-"), "export")
+    n = shots.export_shots_csv(seed, ShotFilters(season=SEASON, player_id=LEBRON), out)
+    lines = open(os.path.join(out, [f for f in os.listdir(out) if f.startswith("part-")][0])).read().splitlines()
+    assert n == 200 and lines[0].split(",") == shots.EXPORT_COLUMNS and len(lines) == 201
+    assert lines[1].split(",")[1:3] == ["0022400001", "1"]
+    monkeypatch.setattr(shots, "EXPORT_LIMIT", 100)
+    with pytest.raises(OverflowError):
+        shots.export_shots_csv(seed, ShotFilters(season=SEASON, player_id=LEBRON), out + "2")
+
+
+def test_season_build_round_trip(spark, seed):
+    from statlake.operators import transforms as tf
+    from statlake.sources.testviews import provider_feeds
+
+    feeds = provider_feeds(seed)
+    built = tf.season_build(feeds["teams"], feeds["players"], feeds["team_log"], feeds["player_log"], feeds["shots"], SEASON)
+    for name, df in built.items():
+        assert df.exceptAll(getattr(seed, name)).count() == 0, name
+        assert getattr(seed, name).exceptAll(df).count() == 0, name
