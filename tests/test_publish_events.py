@@ -190,3 +190,21 @@ def test_season_build_round_trip(spark, seed):
     for name, df in built.items():
         assert df.exceptAll(getattr(seed, name)).count() == 0, name
         assert getattr(seed, name).exceptAll(df).count() == 0, name
+
+
+def test_usage_and_request_metrics_stream_equal_batch(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=7 * i), ["view", "share", "hack"][i % 3], ["standings", "games"][i % 2],
+             f"/api/{['a', 'b'][i % 2]}", 500 if i % 5 == 0 else 200, float(i * 37 % 1500)) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, event string, view string, path string, status int, duration_ms double")
+    d = tempfile.mkdtemp(prefix="statlake-test-")
+    df.write.parquet(os.path.join(d, "in"))
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(d, "in"))
+    accepted, _ = ev.usage_allowlist(stream)
+    for name, out, batch in (("usage", ev.usage_counts(accepted), ev.usage_counts(ev.usage_allowlist(df)[0])),
+                             ("metrics", ev.request_metrics(stream), ev.request_metrics(df))):
+        q = (out.writeStream.outputMode("complete").format("memory").queryName(f"r_{name}")
+             .option("checkpointLocation", os.path.join(d, f"ckpt_{name}")).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        got = spark.table(f"r_{name}")
+        assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
