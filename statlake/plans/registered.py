@@ -205,3 +205,13 @@ star("C17")(lambda t: t.shot_attempts.select("game_id", "event_id", fx.court_x("
 star("A18")(lambda t: t.shot_attempts.groupBy("season", "game_id", "player_id").agg(
     F.count_distinct("team_id").alias("teams")).where(F.col("teams") > 1))
 star("W2")(lambda t: season.leaders(t, apply_minimum=False))
+
+
+@raw("S8")
+def _s8(spark, sf_dir):
+    """S8 over the driver's own files: SHA-256 of every table file, hashed on the executors."""
+    from statlake.sources import files as fs
+
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    d = fs.file_digests(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
+    return d.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "sha256")
