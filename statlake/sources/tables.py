@@ -70,7 +70,7 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists") -> None
         out = df.select(*schema.fieldNames())
         writer_df = out
         if name in schemas.PARTITIONED_BY_SEASON:
-            sort_cols = [c for c in ("team_id", "player_id", "game_id") if c in schema.fieldNames()]
+            sort_cols = [c for c in ("team_id", "home_team_id", "player_id", "game_id", "id") if c in schema.fieldNames()]
             # Range partitioning on (season, team, ...) splits a large season over
             # many tasks (no single-task season) and keeps each file's keys contiguous.
             writer_df = out.repartitionByRange("season", *sort_cols).sortWithinPartitions("season", *sort_cols)

@@ -161,3 +161,23 @@ def test_readiness_and_status(seed):
     assert r["status"] == "not ready"  # untracked seed
     s = one(browse.dataset_status(seed))
     assert (s["games"], s["team_game_stats"], s["player_game_stats"], s["shot_attempts"]) == (10, 20, 16, 295)
+
+
+def test_tie_semantics(spark):
+    from statlake.operators import crosscheck as cc
+    from tests.conftest import frames, seed_rows
+
+    rows = seed_rows()
+    rows["games"][0].update(away_score=110)  # game 1 tied 110-110
+    rows["team_game_stats"][1].update(points=110)
+    t = frames(spark, rows)
+    st = {r.team_id: (r.wins, r.losses) for r in season.standings(t).collect()}
+    assert st == {LAKERS: (9, 0), CELTICS: (0, 9)}  # a tie counts neither way
+    view = {r.team_id: r.win_pct for r in season.team_standings_view(t).collect()}
+    assert view == {LAKERS: 0.9, CELTICS: 0.0}  # the view divides by all games
+    winner = one(season.game_summary_view(t).where(F.col("game_id") == "0022400001"))["winner"]
+    assert winner == "BOS"  # tie -> away
+    log = browse.player_game_log(t).where((F.col("player_id") == LEBRON) & (F.col("game_id") == "0022400001"))
+    assert one(log)["result"] == "L"
+    g1 = {r.team_id: (r.wins, r.losses) for r in cc.local_team_totals(t).collect()}
+    assert g1 == {LAKERS: (9, 1), CELTICS: (1, 9)}  # the official feed's rule: a tie is an away win
