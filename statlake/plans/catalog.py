@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statlake.session import ensure_defaults
 from statlake.sources.tables import Tables
 from statlake.sources.testviews import derive
 
@@ -22,7 +23,11 @@ def star(name: str):
     """Register ``fn(Tables) -> DataFrame`` under ``name``."""
 
     def deco(fn: Callable[[Tables], DataFrame]):
-        _REGISTRY[name] = lambda spark, sf_dir, _fn=fn: _fn(derive(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
+            ensure_defaults(spark)
+            return _fn(derive(spark, sf_dir))
+
+        _REGISTRY[name] = run
         return fn
 
     return deco
@@ -32,7 +37,11 @@ def raw(name: str):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
 
     def deco(fn: Query):
-        _REGISTRY[name] = fn
+        def run(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
+            ensure_defaults(spark)
+            return _fn(spark, sf_dir)
+
+        _REGISTRY[name] = run
         return fn
 
     return deco

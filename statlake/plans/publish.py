@@ -70,9 +70,11 @@ def season_row(t: Tables, season: str, manifest_sha256: str | None, manifest_gen
     """Q34 + provenance: the season's metadata row recomputed from the tables."""
     meta = season_q.season_metadata(t).where(F.col("id") == season)
     shots = t.shot_attempts.where(F.col("season") == season).agg(F.count(F.lit(1)).alias("shot_attempts_count"))
-    now = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+    now = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
     status = "passed" if manifest_sha256 else "untracked"
-    gen = F.lit(manifest_generated_at.replace(tzinfo=None) if manifest_generated_at else None).cast("timestamp_ntz")
+    gen_utc = manifest_generated_at.astimezone(dt.UTC).replace(tzinfo=None) if manifest_generated_at and \
+        manifest_generated_at.tzinfo else manifest_generated_at
+    gen = F.lit(gen_utc.isoformat(sep=" ") if gen_utc else None).cast("timestamp_ntz")
     return meta.withColumn("k", F.lit(1)).join(shots.withColumn("k", F.lit(1)), "k").select(
         "id", season_start_year(F.col("id")).alias("start_year"), season_end_year(F.col("id")).alias("end_year"),
         F.col("games_count").cast("int"), F.col("players_count").cast("int"), now.alias("loaded_at"),

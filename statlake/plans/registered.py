@@ -178,14 +178,14 @@ def _r4(spark, sf_dir):
 @raw("R5")
 def _r5(spark, sf_dir):
     objects, pointers = tv.snapshot_listing(spark, sf_dir)
-    now = F.lit(tv.listing_now(spark, sf_dir)).cast("timestamp_ntz")
+    now = F.lit(tv.listing_now(spark, sf_dir).isoformat(sep=" ")).cast("timestamp_ntz")
     return ev.expired_snapshots(objects, pointers, now, RETENTION_DAYS)
 
 
 @raw("R6")
 def _r6(spark, sf_dir):
     objects, pointers = tv.snapshot_listing(spark, sf_dir)
-    now = F.lit(tv.listing_now(spark, sf_dir)).cast("timestamp_ntz")
+    now = F.lit(tv.listing_now(spark, sf_dir).isoformat(sep=" ")).cast("timestamp_ntz")
     return ev.snapshot_freshness(objects, pointers, now)
 
 # --- scalar constructs over whole tables (C6, C7, C9, C10, C17, A18) --------------------

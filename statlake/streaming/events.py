@@ -212,9 +212,9 @@ def snapshot_freshness(objects: DataFrame, pointers: DataFrame, now: Column,
     newest = dumps.groupBy("prefix").agg(
         F.max_by("key", F.struct("modified", "key")).alias("newest_backup"), F.max("modified").alias("newest_modified"),
         F.count(F.lit(1)).alias("backup_count"))
-    secs = lambda c: F.unix_timestamp(c.cast("timestamp"))
-    age_h = (secs(now) - secs(F.col("newest_modified"))) / 3600.0
-    drill_d = (secs(now) - secs(F.col("proven_at"))) / 86400.0
+    # whole seconds between wall-clock values; no session time zone is involved
+    age_h = F.timestamp_diff("SECOND", F.col("newest_modified"), now) / 3600.0
+    drill_d = F.timestamp_diff("SECOND", F.col("proven_at"), now) / 86400.0
     j = newest.join(pointers.select("prefix", "proven_at"), "prefix", "left")
     return j.select(
         "prefix", "newest_backup", "backup_count", F.round(age_h, 3).alias("newest_backup_age_hours"),
