@@ -4,9 +4,9 @@
   ``explode`` over a two-element array (J4/U1/J12). This replaces the
   ``t.id = home OR t.id = away`` join, which Spark can only plan as a
   nested-loop join, by an equi-join on ``team_id``.
-* ``latest_team`` is DISTINCT ON (player, season) ORDER BY date DESC NULLS
-  LAST, id DESC, expressed as a ``max_by`` aggregate (W4): a hash aggregate
-  with partial aggregation, no sort of the whole group.
+* The latest team of a player-season (DISTINCT ON ... ORDER BY date DESC NULLS
+  LAST, id DESC, W4) is a ``max_by(team, (date, id))`` inside the averages
+  aggregate (``plans.season``): partial aggregation, no sort of the group.
 * ``with_recency`` numbers each team's games newest first (W1), partitioned by
   (season, team) so no window sees more than one team-season.
 """
@@ -40,17 +40,6 @@ def with_recency(legs: DataFrame, name: str = "recency") -> DataFrame:
     return legs.withColumn(name, F.row_number().over(w))
 
 
-def latest_team(pgs: DataFrame, games: DataFrame, by: tuple[str, ...] = ("player_id", "season")) -> DataFrame:
-    """Team of each player's most recent appearance (DNP rows excluded) per ``by`` keys."""
-    played = pgs.where(F.col("minutes").isNotNull()).select("game_id", "player_id", "team_id", "season")
-    g = games.select(F.col("id").alias("game_id"), "game_date")
-    return (
-        played.join(g, "game_id")
-        .groupBy(*by)
-        .agg(F.max_by("team_id", F.struct("game_date", "game_id")).alias("team_id"))
-    )
-
-
 def opponent_of(team_col: str = "team_id") -> F.Column:
     """CASE WHEN home_team_id = team THEN away_team_id ELSE home_team_id END."""
     return F.when(F.col("home_team_id") == F.col(team_col), F.col("away_team_id")).otherwise(F.col("home_team_id"))

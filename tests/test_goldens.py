@@ -181,3 +181,14 @@ def test_tie_semantics(spark):
     assert one(log)["result"] == "L"
     g1 = {r.team_id: (r.wins, r.losses) for r in cc.local_team_totals(t).collect()}
     assert g1 == {LAKERS: (9, 1), CELTICS: (1, 9)}  # the official feed's rule: a tie is an away win
+
+
+def test_trend_and_team_game_table(seed):
+    trend = browse.scoring_trend(seed).where(F.col("player_id") == TATUM).orderBy("idx").collect()
+    assert [r.idx for r in trend] == [1, 2, 3, 4, 5]
+    assert [r.game_id for r in trend] == [f"00224000{i:02d}" for i in range(1, 6)]  # oldest -> newest
+    assert all(r.max_points == 25 and r.scaled == 1.0 for r in trend)
+    table = browse.team_game_table(seed).where(F.col("team_id") == CELTICS).orderBy("position").collect()
+    assert len(table) == 10 and table[0].game_id == "0022400010"
+    assert (table[0].venue, table[0].opponent, table[0].result, table[0].team_score, table[0].opponent_score) == (
+        "@", "Los Angeles Lakers", "L", 100, 110)
