@@ -109,25 +109,35 @@ def _player_rates(played: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _played_with_dates(t: Tables) -> DataFrame:
-    """Non-DNP player rows with their game's date (left join: a row without a game keeps
-    its stats but cannot be anyone's latest appearance)."""
+    """Non-DNP player rows with their game's date and whether the game and the team exist.
+
+    Left joins: a row without a game (or team) keeps its stats but cannot be
+    anyone's latest appearance. ``games`` and ``teams`` are dimensions keyed by
+    their primary key, so the joins never multiply rows.
+    """
     played = t.player_game_stats.where(F.col("minutes").isNotNull())
-    g = t.games.select(F.col("id").alias("game_id"), "game_date")
-    return played.join(g, "game_id", "left")
+    g = t.games.select(F.col("id").alias("game_id"), "game_date", F.lit(True).alias("has_game"))
+    tm = t.teams.select(F.col("id").alias("team_id"), F.col("abbreviation").alias("row_team_abbr"))
+    return played.join(g, "game_id", "left").join(tm, "team_id", "left")
 
 
-def _latest_team_agg() -> F.Column:
-    """W4 inside the same aggregate: team of the latest (date, id) appearance that has a game."""
-    return F.max_by(F.when(F.col("game_date").isNotNull(), F.col("team_id")),
-                    F.struct("game_date", "game_id")).alias("team_id")
+def _latest_team_agg(require_team: bool) -> F.Column:
+    """W4 inside the same aggregate: (team_id, team_abbr) of the latest appearance.
 
+    Latest = greatest (game_date, game_id) among rows whose game exists; a null
+    date sorts lowest (DESC NULLS LAST). Rows without a game get a null ordering,
+    which ``max_by`` skips. ``require_team`` also skips rows whose team is not in
+    ``teams`` (the team join sits inside the latest-row pick); otherwise the
+    latest row is picked first and an unknown team yields a null abbreviation.
+    """
+    eligible = F.col("has_game").isNotNull()
+    if require_team:
+        eligible = eligible & F.col("row_team_abbr").isNotNull()
+    return F.max_by(F.struct(F.col("team_id"), F.col("row_team_abbr").alias("team_abbr")),
+                    F.when(eligible, F.struct("game_date", "game_id"))).alias("latest")
 
-def player_season_averages(t: Tables) -> DataFrame:
-    """Q9 for every (player, season): averages over all teams, labelled with the latest team.
 
-    Averages and the latest team come from one grouped aggregate over the
-    player rows joined to their game dates (one scan, one shuffle).
-    """
+def _player_season_averages(t: Tables, require_team: bool) -> DataFrame:
     rows = _played_with_dates(t)
     rates = rows.groupBy("player_id", "season").agg(
         F.count(F.lit(1)).alias("games_played"),
@@ -140,20 +150,30 @@ def player_season_averages(t: Tables) -> DataFrame:
         ratio(F.sum("fgm"), F.sum("fga")).alias("fg_pct"),
         ratio(F.sum("fg3m"), F.sum("fg3a")).alias("fg3_pct"),
         ratio(F.sum("ftm"), F.sum("fta")).alias("ft_pct"),
-        _latest_team_agg(),
-    )
-    teams = t.teams.select(F.col("id").alias("team_id"), F.col("abbreviation").alias("team_abbr"))
+        _latest_team_agg(require_team),
+    ).where(F.col("latest.team_abbr").isNotNull())
     players = t.players.select(F.col("id").alias("player_id"), F.col("full_name").alias("player_name"))
     return (
-        rates.join(players, "player_id").join(teams, "team_id")
-        .select("player_id", "player_name", "season", "team_id", "team_abbr", "games_played", "mpg", "ppg",
+        rates.join(players, "player_id")
+        .select("player_id", "player_name", "season", F.col("latest.team_id").alias("team_id"),
+                F.col("latest.team_abbr").alias("team_abbr"), "games_played", "mpg", "ppg",
                 "rpg", "apg", "spg", "bpg", "fg_pct", "fg3_pct", "ft_pct")
     )
 
 
+def player_season_averages(t: Tables) -> DataFrame:
+    """Q9 for every (player, season): averages over all teams, labelled with the latest team.
+
+    Averages and the latest team come from one grouped aggregate over the
+    player rows joined to their game dates and team labels (one scan, one
+    shuffle; both dimensions are keyed lookups).
+    """
+    return _player_season_averages(t, require_team=True)
+
+
 def player_season_averages_view(t: Tables) -> DataFrame:
-    """Q31 vw_player_season_averages: Q9 without team_id."""
-    return player_season_averages(t).select(
+    """Q31 vw_player_season_averages: latest appearance first, then its team (no team_id column)."""
+    return _player_season_averages(t, require_team=False).select(
         "player_id", "player_name", "season", "team_abbr", "games_played", "ppg", "rpg", "apg", "spg", "bpg",
         "fg_pct", "fg3_pct", "ft_pct", "mpg",
     )
@@ -209,10 +229,10 @@ def leaders(t: Tables, stats: tuple[str, ...] = STAT_CATEGORIES, limit: int = 10
     per = rows.groupBy("season", "player_id").agg(
         F.count(F.lit(1)).alias("games_played"),
         *[F.sum(s).alias(f"sum_{s}") for s in stats], *[F.count(s).alias(f"n_{s}") for s in stats],
-        _latest_team_agg(),
-    )
+        _latest_team_agg(require_team=True),
+    ).where(F.col("latest.team_abbr").isNotNull())
     per_player = per.select(
-        "season", "player_id", "games_played", "team_id",
+        "season", "player_id", "games_played", F.col("latest.team_abbr").alias("team_abbr"),
         F.inline(F.array(*[F.struct(
             F.lit(s).alias("stat"),
             F.round(F.col(f"sum_{s}").cast("decimal(24,4)") / F.nullif(F.col(f"n_{s}"), F.lit(0)).cast("decimal(20,0)"), 1)
@@ -222,9 +242,8 @@ def leaders(t: Tables, stats: tuple[str, ...] = STAT_CATEGORIES, limit: int = 10
     eligible = per_player.join(mg, "season", "left").withColumn(
         "minimum_games", F.coalesce(F.col("minimum_games"), F.lit(0)) if apply_minimum else F.lit(0).cast("bigint"))
     eligible = eligible.where(F.col("games_played") >= F.col("minimum_games"))
-    teams = t.teams.select(F.col("id").alias("team_id"), F.col("abbreviation").alias("team_abbr"))
     players = t.players.select(F.col("id").alias("player_id"), F.col("full_name").alias("player_name"))
-    j = eligible.join(players, "player_id").join(teams, "team_id")
+    j = eligible.join(players, "player_id")
     part = Window.partitionBy("season", "stat")
     ranked = j.withColumn("rank", F.rank().over(part.orderBy(F.col("value").desc()))).withColumn(
         "position",

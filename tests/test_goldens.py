@@ -192,3 +192,26 @@ def test_trend_and_team_game_table(seed):
     assert len(table) == 10 and table[0].game_id == "0022400010"
     assert (table[0].venue, table[0].opponent, table[0].result, table[0].team_score, table[0].opponent_score) == (
         "@", "Los Angeles Lakers", "L", 100, 110)
+
+
+def test_latest_team_pick(spark):
+    """Q9/Q28 take the latest appearance with a known team; the Q31 view takes the
+    latest appearance first, so an unknown latest team drops the view's row."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from tests.conftest import _box, frames, seed_rows
+
+    rows = seed_rows()
+    gid = "0022400011"
+    rows["games"].append(dict(id=gid, game_date=dt.date(2024, 11, 20), season=SEASON, home_team_id=LAKERS,
+                              away_team_id=CELTICS, home_score=100, away_score=90))
+    rows["player_game_stats"].append(_box(gid, 999, SEASON, Decimal("30.0"), 10, 5, 5, 4, 10, 0, 2, 2, 2,
+                                          player_id=LEBRON))
+    t = frames(spark, rows)
+    q9 = one(season.player_season_averages(t).where(F.col("player_id") == LEBRON))
+    assert (q9["team_id"], q9["team_abbr"], q9["games_played"]) == (LAKERS, "LAL", 11)
+    assert season.player_season_averages_view(t).where(F.col("player_id") == LEBRON).count() == 0
+    assert one(season.player_season_averages_view(t).where(F.col("player_id") == TATUM))["team_abbr"] == "BOS"
+    lead = season.leaders(t, apply_minimum=False).where(F.col("player_id") == LEBRON).collect()
+    assert lead and {r.team_abbr for r in lead} == {"LAL"}
