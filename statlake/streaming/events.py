@@ -4,9 +4,10 @@ R1/R2 are filters and windowed aggregates that run the same way in batch and
 in Structured Streaming (watermark on ``ts``). R3, the sliding-window rate
 limiter, is sequential per (client, group) by definition (an admission depends
 on the earlier admissions), so it is keyed state: ``applyInPandasWithState``
-in a stream, and in batch a per-partition scan of rows clustered by key and
-sorted by time (``mapInPandas``), which never holds more than one Arrow batch
-plus at most ``limit`` timestamps per key in memory.
+in a stream, and in batch a per-partition scan of rows range-partitioned by
+(key, time) (``mapInPandas``), which never holds more than one Arrow batch
+plus at most ``limit`` timestamps per key in memory; a hot key is split over
+partitions and the state at each split is resolved exactly (see rate_limit).
 """
 
 from __future__ import annotations
@@ -88,32 +89,124 @@ def _decide(admitted: deque, now: float, window_seconds: float, limit: int) -> t
     return True, 0
 
 
+SUMMARY_SCHEMA = T.StructType([
+    T.StructField("pid", T.IntegerType()),
+    T.StructField("first_client", T.StringType()), T.StructField("first_group", T.StringType()),
+    T.StructField("last_client", T.StringType()), T.StructField("last_group", T.StringType()),
+    T.StructField("admitted", T.ArrayType(T.DoubleType())),
+])
+
+
+class _LimiterWalk:
+    """Sequential decisions over one partition sorted by (client, group, ts, request_id).
+
+    ``carried`` is ``(client, group, admitted)``: the state the partition's first
+    key brings from the previous partition (a key split across partitions), or
+    None. Memory: at most ``limit`` admitted timestamps for the current key.
+    """
+
+    def __init__(self, carried, window_seconds: float, limit_of):
+        self.carried, self.window, self.limit_of = carried, window_seconds, limit_of
+        self.first = self.key = None
+        self.admitted: deque = deque()
+
+    def decide(self, pdf: pd.DataFrame) -> tuple[list, list]:
+        allowed, retry = [], []
+        secs = pdf["ts"].astype("int64").to_numpy() / 1e9
+        for client, group, now in zip(pdf["client"], pdf["group"], secs):
+            if (client, group) != self.key:
+                self.key, self.admitted = (client, group), deque()
+                if self.first is None:
+                    self.first = self.key
+                    if self.carried is not None and tuple(self.carried[:2]) == self.key:
+                        self.admitted = deque(self.carried[2])
+            limit = self.limit_of(group)
+            if limit is None:  # exempt group: not limited, not recorded
+                ok, after = True, 0
+            else:
+                ok, after = _decide(self.admitted, float(now), self.window, limit)
+            allowed.append(ok)
+            retry.append(after)
+        return allowed, retry
+
+
 def rate_limit(requests: DataFrame, window_seconds: float, limits: dict[str, int] | int,
                partitions: int | None = None) -> DataFrame:
     """R3 in batch: one decision per request, in time order per (client, group).
 
-    Rows are hash-clustered by (client, group) and sorted by (client, group,
-    ts, request_id) inside each partition; ``mapInPandas`` then walks each
-    partition batch by batch, carrying only the admitted timestamps of the
-    current key (at most ``limit``). Denied requests are not recorded.
+    Rows are range-partitioned on (client, group, ts, request_id) and sorted in
+    each partition, so a hot key is split over several partitions by time
+    instead of landing in one task; the layout is checkpointed so partition
+    ids stay fixed across the passes. ``mapInPandas`` walks each partition
+    carrying only the current key's admitted timestamps (at most ``limit``).
+
+    A key continued from the previous partition needs that partition's final
+    state. The carried states are resolved by a fixed-point iteration over
+    partition boundaries: pass 0 runs every partition from an empty state and
+    reports (first key, last key, last key's admitted timestamps); each further
+    pass re-runs only the partitions whose incoming state changed. The true
+    boundary states are the unique fixed point (the first partition of a key
+    always starts empty), so decisions are exact; a key's state normally
+    settles within one window of a boundary, so this takes two or three
+    passes. Only one summary row per partition (at most ``limit`` timestamps)
+    reaches the driver, and the same bounded map is shipped with the final pass.
+    Denied requests are not recorded; groups without a limit are exempt.
     """
-    limit_of = (lambda g: limits) if isinstance(limits, int) else (lambda g: limits.get(g, 0))
-    n = partitions or requests.sparkSession.sparkContext.defaultParallelism
+    from statlake.session import checkpoint_dir
+
+    spark = requests.sparkSession
+    limit_of = (lambda g: limits) if isinstance(limits, int) else (lambda g: limits.get(g))
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["client", "group", "ts", "request_id"]
     ordered = (requests.select("client", "group", F.col("ts").cast("timestamp").alias("ts"), "request_id")
-               .repartition(n, "client", "group")
-               .sortWithinPartitions("client", "group", "ts", "request_id"))
+               .repartitionByRange(n, *keys)
+               .sortWithinPartitions(*keys)
+               .withColumn("pid", F.spark_partition_id())
+               .checkpoint(eager=True))
+
+    def summaries(carry: dict, only: set | None) -> dict:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            walk, pid = None, None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                if walk is None:
+                    pid = int(pdf["pid"].iloc[0])
+                    if only is not None and pid not in only:
+                        return
+                    walk = _LimiterWalk(carry.get(pid), window_seconds, limit_of)
+                walk.decide(pdf)
+            if walk is not None:
+                yield pd.DataFrame({"pid": [pid], "first_client": [walk.first[0]], "first_group": [walk.first[1]],
+                                    "last_client": [walk.key[0]], "last_group": [walk.key[1]],
+                                    "admitted": [[float(x) for x in walk.admitted]]})
+
+        return {r.pid: r for r in ordered.mapInPandas(run, SUMMARY_SCHEMA).collect()}
+
+    carry: dict = {}
+    summary = summaries(carry, None)
+    while True:
+        pids = sorted(summary)
+        incoming = {}
+        for prev, cur in zip(pids, pids[1:]):
+            a, b = summary[prev], summary[cur]
+            if (a.last_client, a.last_group) == (b.first_client, b.first_group):
+                incoming[cur] = (b.first_client, b.first_group, list(a.admitted))
+        changed = {p for p in incoming if incoming[p] != carry.get(p)}
+        carry = incoming
+        if not changed:
+            break
+        summary.update(summaries(carry, changed))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, admitted = None, deque()
+        walk = None
         for pdf in batches:
-            allowed, retry = [], []
-            secs = pdf["ts"].astype("int64").to_numpy() / 1e9 if len(pdf) else []
-            for client, group, now in zip(pdf["client"], pdf["group"], secs):
-                if (client, group) != key:
-                    key, admitted = (client, group), deque()
-                ok, after = _decide(admitted, float(now), window_seconds, limit_of(group))
-                allowed.append(ok)
-                retry.append(after)
+            if not len(pdf):
+                continue
+            if walk is None:
+                walk = _LimiterWalk(carry.get(int(pdf["pid"].iloc[0])), window_seconds, limit_of)
+            allowed, retry = walk.decide(pdf)
             out = pdf.assign(allowed=allowed, retry_after=retry)
             out["retry_after"] = out["retry_after"].astype("int32")
             yield out[["client", "group", "ts", "request_id", "allowed", "retry_after"]]
@@ -133,7 +226,7 @@ def rate_limit_stream(requests: DataFrame, window_seconds: float, limits: dict[s
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    limit_of = (lambda g: limits) if isinstance(limits, int) else (lambda g: limits.get(g, 0))
+    limit_of = (lambda g: limits) if isinstance(limits, int) else (lambda g: limits.get(g))
 
     def step(key, batches, state):
         client, group = key
@@ -145,7 +238,8 @@ def rate_limit_stream(requests: DataFrame, window_seconds: float, limits: dict[s
         pdf = pd.concat(frames).sort_values(["ts", "request_id"]) if frames else pd.DataFrame()
         allowed, retry = [], []
         for now in (pdf["ts"].astype("int64").to_numpy() / 1e9 if len(pdf) else []):
-            ok, after = _decide(admitted, float(now), window_seconds, limit_of(group))
+            limit = limit_of(group)
+            ok, after = (True, 0) if limit is None else _decide(admitted, float(now), window_seconds, limit)
             allowed.append(ok)
             retry.append(after)
         state.update((list(admitted),))

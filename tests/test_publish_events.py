@@ -208,3 +208,33 @@ def test_usage_and_request_metrics_stream_equal_batch(spark):
         q.awaitTermination(300)
         got = spark.table(f"r_{name}")
         assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_rate_limit_hot_key_split_across_partitions(spark):
+    """One client holds most requests; range partitioning splits it over many
+    partitions and the carried states must reproduce the sequential answer."""
+    import random
+
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows, rid = [], 0
+    for client, n in (("hot", 1500), ("c1", 40), ("c2", 40)):
+        t = 0.0
+        for _ in range(n):
+            t += rnd.choice([0.5, 1.0, 2.0, 5.0, 10.0, 30.0])
+            rows.append((rid, base + dt.timedelta(seconds=t), client, rnd.choice(["general", "expensive", "docs"])))
+            rid += 1
+    req = spark.createDataFrame(rows, "request_id long, ts timestamp, client string, group string")
+    limits = {"general": 5, "expensive": 2}  # "docs" is exempt
+    out = ev.rate_limit(req, 60, limits, partitions=12)
+    got = {r.request_id: (r.allowed, r.retry_after) for r in out.collect()}
+    assert len(got) == len(rows)
+    for (client, group), part in req.toPandas().groupby(["client", "group"]):
+        part = part.sort_values(["ts", "request_id"])
+        if group not in limits:
+            assert all(got[r] == (True, 0) for r in part["request_id"])
+            continue
+        secs = (part["ts"] - base).dt.total_seconds().tolist()
+        assert [got[r] for r in part["request_id"]] == reference_limiter(secs, 60, limits[group])
+    hot_parts = out.where(F.col("client") == "hot").select(F.spark_partition_id()).distinct().count()
+    assert hot_parts > 1
