@@ -50,23 +50,35 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str
                     approximate: bool = False) -> DataFrame:
     """R2: per (path, time window): requests, server errors, slow (>= 1000 ms) and p50/p95 latency.
 
-    Exact percentiles (``percentile``) keep each group's distinct latencies;
-    ``approximate=True`` uses the mergeable ``percentile_approx`` sketch for
-    very hot paths where exact values per window would not fit a task.
+    Batch: exact percentiles by the distributed rank lookup of
+    ``operators.quantiles`` (a hot path's latencies are spread over many tasks),
+    joined to the counts aggregate. Streaming (``watermark`` given): one
+    windowed aggregate with the built-in exact ``percentile`` (its state keeps
+    each open window's distinct latencies). ``approximate=True`` uses the
+    mergeable ``percentile_approx`` sketch in either form.
     """
+    from statlake.operators.quantiles import exact_percentiles
+
     df = requests.withWatermark("ts", watermark) if watermark else requests
     d = F.col("duration_ms")
-    if approximate:
-        p50, p95 = F.percentile_approx(d, 0.5, 10000), F.percentile_approx(d, 0.95, 10000)
-    else:
-        p50, p95 = F.percentile(d, F.lit(0.5)), F.percentile(d, F.lit(0.95))
-    return df.groupBy("path", F.window("ts", window).alias("w")).agg(
+    counts = [
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("status") >= 500).alias("server_errors"),
         F.count_if(d >= SLOW_REQUEST_MS).alias("slow_requests"),
-        F.round(p50, 3).alias("p50_ms"), F.round(p95, 3).alias("p95_ms"),
-    ).select("path", F.col("w.start").alias("window_start"), "requests", "server_errors", "slow_requests",
-             "p50_ms", "p95_ms")
+    ]
+    cols = ["path", "window_start", "requests", "server_errors", "slow_requests",
+            F.round("p50_ms", 3).alias("p50_ms"), F.round("p95_ms", 3).alias("p95_ms")]
+    if approximate or watermark:
+        if approximate:
+            p50, p95 = F.percentile_approx(d, 0.5, 10000), F.percentile_approx(d, 0.95, 10000)
+        else:
+            p50, p95 = F.percentile(d, F.lit(0.5)), F.percentile(d, F.lit(0.95))
+        return (df.groupBy("path", F.window("ts", window).alias("w"))
+                .agg(*counts, p50.alias("p50_ms"), p95.alias("p95_ms"))
+                .withColumn("window_start", F.col("w.start")).select(*cols))
+    keyed = df.select("path", F.window("ts", window).start.alias("window_start"), "status", "duration_ms")
+    pct = exact_percentiles(keyed, ["path", "window_start"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    return keyed.groupBy("path", "window_start").agg(*counts).join(pct, ["path", "window_start"], "left").select(*cols)
 
 
 # --- R3 sliding-window rate limiter -------------------------------------------------

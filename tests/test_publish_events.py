@@ -238,3 +238,23 @@ def test_rate_limit_hot_key_split_across_partitions(spark):
         assert [got[r] for r in part["request_id"]] == reference_limiter(secs, 60, limits[group])
     hot_parts = out.where(F.col("client") == "hot").select(F.spark_partition_id()).distinct().count()
     assert hot_parts > 1
+
+
+def test_exact_percentiles_match_builtin_on_split_hot_group(spark):
+    import random
+
+    from statlake.operators.quantiles import exact_percentiles
+
+    rnd = random.Random(3)
+    rows = [("hot", round(rnd.expovariate(0.01), 1)) for _ in range(3000)]
+    rows += [("hot", 5.0)] * 200  # duplicates straddling chunk edges
+    rows += [(f"k{i % 7}", float(rnd.randint(0, 50))) for i in range(300)]
+    rows += [("one", 42.0), ("nulls", None)]
+    df = spark.createDataFrame(rows, "path string, d double")
+    ps = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    got = {r.path: r for r in exact_percentiles(df, ["path"], "d", ps, partitions=16).collect()}
+    want = {r.path: r for r in df.groupBy("path").agg(
+        *[F.percentile("d", F.lit(p)).alias(n) for n, p in ps.items()]).where(F.col("p50").isNotNull()).collect()}
+    assert set(got) == set(want) and "nulls" not in got
+    for path, r in want.items():
+        assert all(got[path][n] == r[n] for n in ps), path
