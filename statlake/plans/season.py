@@ -56,17 +56,22 @@ def team_standings_view(t: Tables) -> DataFrame:
 def team_season_summary(t: Tables) -> DataFrame:
     """Q5 for every (season, team): record, splits, last-10, per-game and shooting rates.
 
-    Plan: games -> two legs (explode) -> recency window per (season, team) ->
-    join own box-score row (game_id, team_id) and the other team's row
-    (same game, team_id <>) -> one grouped aggregate.
+    Plan: games -> two legs (explode) -> join own box-score row (game_id,
+    team_id) and the other team's row (same game, team_id <>) -> left join the
+    last-10 flag (group-limited top-k of the legs) -> one grouped aggregate.
     """
-    legs = with_recency(team_legs(t.games))
+    legs = team_legs(t.games)
     tgs = t.team_game_stats
     own = tgs.select("game_id", "team_id", "points", "rebounds", "assists", "steals", "blocks",
                      "fgm", "fga", "fg3m", "fg3a", "ftm", "fta")
     other = tgs.select("game_id", F.col("team_id").alias("other_team_id"), F.col("points").alias("opp_points"))
     j = legs.join(own, ["game_id", "team_id"]).join(other, "game_id").where(F.col("other_team_id") != F.col("team_id"))
-    won, lost, home, last10 = _won(), _lost(), F.col("is_home"), F.col("recency") <= 10
+    # last 10: a group-limited top-k of the legs (partial top-k before the shuffle, so no
+    # window holds a team-season's games), at most 10 keys per team-season, joined back as a flag
+    recent = (with_recency(legs).where(F.col("recency") <= 10)
+              .select("game_id", "team_id", F.lit(True).alias("recent")))
+    j = j.join(recent, ["game_id", "team_id"], "left")
+    won, lost, home, last10 = _won(), _lost(), F.col("is_home"), F.col("recent").isNotNull()
     n = F.count(F.lit(1))
     return j.groupBy("season", "team_id").agg(
         n.alias("games_played"),
@@ -244,12 +249,16 @@ def leaders(t: Tables, stats: tuple[str, ...] = STAT_CATEGORIES, limit: int = 10
     eligible = eligible.where(F.col("games_played") >= F.col("minimum_games"))
     players = t.players.select(F.col("id").alias("player_id"), F.col("full_name").alias("player_name"))
     j = eligible.join(players, "player_id")
+    # top-``limit`` by position first (a group limit: partial top-k before the shuffle, so a
+    # (season, stat) never ships all its players to one task); RANK is then taken over the
+    # kept rows: every row ranked above a kept row has a smaller position, so it is kept too
     part = Window.partitionBy("season", "stat")
-    ranked = j.withColumn("rank", F.rank().over(part.orderBy(F.col("value").desc()))).withColumn(
+    top = j.withColumn(
         "position",
         F.row_number().over(part.orderBy(F.col("value").desc(), F.col("games_played").desc(), "player_name", "player_id")).cast("bigint"),
-    )
-    return ranked.where(F.col("position") <= limit).select(
+    ).where(F.col("position") <= limit)
+    ranked = top.withColumn("rank", F.rank().over(part.orderBy(F.col("value").desc())))
+    return ranked.select(
         "stat", "season", "minimum_games", "position", F.col("rank").cast("bigint").alias("rank"), "player_id",
         "player_name", "team_abbr", "games_played", "value",
     )
