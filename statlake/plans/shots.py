@@ -66,18 +66,12 @@ def league_context(t: Tables, f: ShotFilters = ShotFilters(), by: list[str] | No
 def _with_league(agg: DataFrame, t: Tables, f: ShotFilters, by: list[str]) -> DataFrame:
     """Attach the league baseline (context without subject, no ``made`` filter).
 
-    With every subject in ``agg`` the league is the sum of its team rows per
-    (season, ``by``): a window over the aggregated rows, so the plan stays one
-    scan of the shots (a separate aggregate would be column-pruned differently
-    and rescan them). With a subject filter the context is a separate scan.
+    The league is its own grouped aggregate over the context shots, combined
+    map-side to one row per (season, ``by``) and joined back as a small table.
+    (A window over the aggregated subject rows would read the shots once, but
+    it puts every subject of a season -- or season and zone -- into one task.)
     """
-    if f.has_subject:
-        return agg.join(league_context(t, f, by), ["season", *by], "left")
-    w = Window.partitionBy("season", *by)
-    team = F.col("subject_type") == "team"
-    makes = F.sum(F.when(team, F.col("makes"))).over(w)
-    attempts = F.sum(F.when(team, F.col("attempts"))).over(w)
-    return agg.withColumn("league_fg_pct", ratio_dec(makes, attempts, 3))
+    return agg.join(league_context(t, f, by), ["season", *by], "left")
 
 
 def shot_summary(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:

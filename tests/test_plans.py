@@ -31,8 +31,16 @@ def scans_of(text: str, table: str) -> int:
 
 
 def test_shot_queries_scan_shots_once(published):
-    for fn in (shots.shot_summary, shots.shot_zones, shots.shot_profile):
-        assert scans_of(plan(fn(published)), "shot_attempts") == 1, fn.__name__
+    assert scans_of(plan(shots.shot_profile(published)), "shot_attempts") == 1
+
+
+def test_league_baseline_is_not_a_season_wide_window(published):
+    """The league is a separate (season, zone) aggregate joined back; windows in the
+    shot queries are partitioned by subject only."""
+    for fn in (shots.shot_summary, shots.shot_zones):
+        windows = [line for line in plan(fn(published)).splitlines() if "Window [" in line]
+        assert all("subject_id" in line for line in windows), (fn.__name__, windows)
+    assert any("Window [" in line for line in plan(shots.shot_zones(published)).splitlines())  # the share window
 
 
 def test_sample_uses_partial_group_limit(published):
