@@ -139,46 +139,59 @@ def shot_zones(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
 def shot_profile(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
     """Q19: five splits (zone, venue, month, opponent, season_phase) in one pass.
 
-    Each shot is expanded into its five (dimension, label, sort_key) rows with
-    one ``inline``; a single grouped aggregate (partial aggregation before the
+    Each shot is expanded into its five (dimension, key) rows with one
+    ``inline``; a single grouped aggregate (partial aggregation before the
     shuffle) replaces the product's five-way UNION ALL over a materialized CTE.
+    The expanded rows carry compact keys -- a dimension code, the area or
+    opponent name, the month as yyyymm, 0/1 flags for venue and phase -- and
+    the labels and sort keys (each a function of its key) are derived after
+    the aggregation, so the hash maps and the shuffle hold small keys.
     """
-    # derived labels are computed once per shot, before the 5x expansion
-    area = normalized_zone("zone_basic")
-    pre = F.col("game_date") < break_end("season")
+    pre = F.coalesce(F.col("game_date") < break_end("season"), F.lit(False))
     base = enriched_shots(t).where(f.subject()).select(
-        "season", "player_id", "team_id", "shot_made", "shot_type", "venue", "opponent_name",
-        area.alias("area"),
-        F.date_format("game_date", "MMM yyyy").alias("month_label"),
-        F.date_format("game_date", "yyyy-MM").alias("month_key"),
-        pre.alias("pre_break"),
-    ).withColumn("area_key", area_sort_key(F.col("area")))
+        "season", "player_id", "team_id", "shot_made",
+        (F.col("shot_made") & (F.col("shot_type") == THREE_POINT)).alias("made3"),
+        points_value().alias("pv"),
+        normalized_zone("zone_basic").alias("area"),
+        (F.year("game_date") * 100 + F.month("game_date")).alias("ym"),
+        (F.col("venue") == "Home").cast("int").alias("home"),
+        "opponent_name", pre.cast("int").alias("pre"),
+    )
+    no_s, no_i = F.lit(None).cast("string"), F.lit(None).cast("int")
     dims = F.array(
-        F.struct(F.lit("zone").alias("dimension"), F.col("area").alias("label"), F.col("area_key").alias("sort_key")),
-        F.struct(F.lit("venue").alias("dimension"), F.col("venue").alias("label"),
-                 F.when(F.col("venue") == "Home", "1").otherwise("2").alias("sort_key")),
-        F.struct(F.lit("month").alias("dimension"), F.col("month_label").alias("label"), F.col("month_key").alias("sort_key")),
-        F.struct(F.lit("opponent").alias("dimension"), F.col("opponent_name").alias("label"),
-                 F.col("opponent_name").alias("sort_key")),
-        F.struct(F.lit("season_phase").alias("dimension"),
-                 F.when(F.col("pre_break"), "Pre All-Star").otherwise("Post All-Star").alias("label"),
-                 F.when(F.col("pre_break"), "1").otherwise("2").alias("sort_key")),
+        F.struct(F.lit(0).alias("d"), F.col("area").alias("s"), no_i.alias("i")),
+        F.struct(F.lit(1).alias("d"), no_s.alias("s"), F.col("home").alias("i")),
+        F.struct(F.lit(2).alias("d"), no_s.alias("s"), F.col("ym").alias("i")),
+        F.struct(F.lit(3).alias("d"), F.col("opponent_name").alias("s"), no_i.alias("i")),
+        F.struct(F.lit(4).alias("d"), no_s.alias("s"), F.col("pre").alias("i")),
     )
-    per_dim = base.select("season", "player_id", "team_id", "shot_made", "shot_type", F.inline(dims))
-    rows = with_subjects(per_dim, f).select(*SUBJECT, "shot_made", "shot_type", "dimension", "label", "sort_key")
-    n = F.count(F.lit(1))
-    makes = F.count_if(F.col("shot_made"))
-    made3 = F.count_if(F.col("shot_made") & (F.col("shot_type") == THREE_POINT))
-    agg = rows.groupBy(*SUBJECT, "dimension", "label", "sort_key").agg(
-        n.alias("attempts"),
-        makes.alias("makes"),
-        F.coalesce(F.sum(points_value()), F.lit(0)).alias("points"),
+    per_dim = base.select("season", "player_id", "team_id", "shot_made", "made3", "pv", F.inline(dims))
+    agg = with_subjects(per_dim, f).groupBy(*SUBJECT, "d", "s", "i").agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.count_if(F.col("shot_made")).alias("makes"),
+        F.sum("pv").alias("pts"),
+        F.count_if(F.col("made3")).alias("made3"),
+    )
+    d, flag = F.col("d"), F.col("i") == 1
+    month = F.make_date((F.col("i") / 100).cast("int"), F.col("i") % 100, F.lit(1))
+    dimension = (F.when(d == 0, "zone").when(d == 1, "venue").when(d == 2, "month").when(d == 3, "opponent")
+                 .otherwise("season_phase"))
+    label = (F.when(d == 0, F.col("s")).when(d == 1, F.when(flag, "Home").otherwise("Away"))
+             .when(d == 2, F.date_format(month, "MMM yyyy")).when(d == 3, F.col("s"))
+             .otherwise(F.when(flag, "Pre All-Star").otherwise("Post All-Star")))
+    sort_key = (F.when(d == 0, area_sort_key(F.col("s"))).when(d == 1, F.when(flag, "1").otherwise("2"))
+                .when(d == 2, F.date_format(month, "yyyy-MM")).when(d == 3, F.col("s"))
+                .otherwise(F.when(flag, "1").otherwise("2")))
+    n, makes = F.col("attempts"), F.col("makes")
+    out = agg.select(
+        *SUBJECT, dimension.alias("dimension"), label.alias("label"), sort_key.alias("sort_key"), "attempts", "makes",
+        F.coalesce(F.col("pts"), F.lit(0)).alias("points"),
         ratio(makes, n, 3).alias("fg_pct"),
-        ratio(F.sum(points_value()), n, 3).alias("points_per_shot"),
-        ratio(makes * 2 + made3, n * 2, 3).alias("efg_pct"),
+        ratio(F.col("pts"), n, 3).alias("points_per_shot"),
+        ratio(makes * 2 + F.col("made3"), n * 2, 3).alias("efg_pct"),
     )
     share = F.sum("attempts").over(Window.partitionBy(*SUBJECT, "dimension"))
-    return agg.withColumn("frequency", ratio(F.col("attempts"), share, 3)).select(
+    return out.withColumn("frequency", ratio(F.col("attempts"), share, 3)).select(
         *SUBJECT, "dimension", "label", "sort_key", "attempts", "makes", "points", "fg_pct", "frequency",
         "points_per_shot", "efg_pct",
     )
