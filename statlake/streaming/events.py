@@ -52,9 +52,9 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str
 
     Batch: exact percentiles by the distributed rank lookup of
     ``operators.quantiles`` (a hot path's latencies are spread over many tasks),
-    joined to the counts aggregate. Streaming (``watermark`` given): one
-    windowed aggregate with the built-in exact ``percentile`` (its state keeps
-    each open window's distinct latencies). ``approximate=True`` uses the
+    joined to the counts aggregate. On a stream: one windowed aggregate with
+    the built-in exact ``percentile`` (its state keeps each open window's
+    distinct latencies; ``watermark`` bounds how long windows stay open). ``approximate=True`` uses the
     mergeable ``percentile_approx`` sketch in either form.
     """
     from statlake.operators.quantiles import exact_percentiles
@@ -68,7 +68,7 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str
     ]
     cols = ["path", "window_start", "requests", "server_errors", "slow_requests",
             F.round("p50_ms", 3).alias("p50_ms"), F.round("p95_ms", 3).alias("p95_ms")]
-    if approximate or watermark:
+    if approximate or requests.isStreaming:
         if approximate:
             p50, p95 = F.percentile_approx(d, 0.5, 10000), F.percentile_approx(d, 0.95, 10000)
         else:
