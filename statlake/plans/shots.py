@@ -11,6 +11,8 @@ each plan is linear and the shot table is scanned once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +109,17 @@ def shot_sample(t: Tables, f: ShotFilters = ShotFilters(), max_points: int = 250
         raise ValueError("max_points must be between 100 and 10000")
     s = subject_shots(t, f).withColumn(
         "sample_key", F.md5(F.concat(F.col("game_id"), F.lit(":"), F.col("event_id").cast("string"))))
+    # two-level top-k: the partial limit sends k rows per subject from every map partition,
+    # so one level would give a hot subject's task k x P rows; first cut per (subject, group
+    # of ~sqrt(P) input partitions), then per subject -- each task gets at most ~k x sqrt(P).
+    # Exact: a subject's k smallest keys are among the k smallest of their own group.
+    groups = max(1, math.isqrt(max(s.rdd.getNumPartitions() - 1, 0)) + 1)
+    s = s.withColumn("part_group", F.spark_partition_id() % F.lit(groups))
+    first = s.withColumn(
+        "group_rank", F.row_number().over(Window.partitionBy(*SUBJECT, "part_group").orderBy("sample_key"))
+    ).where(F.col("group_rank") <= max_points)
     w = Window.partitionBy(*SUBJECT).orderBy("sample_key")
-    sample = s.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= max_points)
+    sample = first.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= max_points)
     totals = s.groupBy(*SUBJECT).agg(F.count(F.lit(1)).alias("total"))
     return sample.join(totals, SUBJECT).select(
         *SUBJECT, F.col("sample_rank").cast("bigint").alias("sample_rank"), "game_id", "event_id", "player_id",
