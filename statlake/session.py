@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("STATLAKE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.ansi.enabled", "true")
+        # checkpoint files (R2 chunks, R3 layout) are removed once their DataFrame is unreferenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
