@@ -82,11 +82,19 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str
 
 
 # --- R3 sliding-window rate limiter -------------------------------------------------
-DECISION_SCHEMA = T.StructType([
+# Output: client, group, ts, request_id, allowed, retry_after. Python steps see epoch microseconds computed in the JVM: pandas timestamps are wall-clock
+# times in the session zone, which would shift window arithmetic at daylight-saving changes
+_DECISIONS_US = T.StructType([
     T.StructField("client", T.StringType()), T.StructField("group", T.StringType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("request_id", T.LongType()),
+    T.StructField("ts_us", T.LongType()), T.StructField("request_id", T.LongType()),
     T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.IntegerType()),
 ])
+_DECISION_COLS = ["client", "group", "ts_us", "request_id", "allowed", "retry_after"]
+
+
+def _with_ts(decisions: DataFrame) -> DataFrame:
+    return decisions.select("client", "group", F.timestamp_micros("ts_us").alias("ts"), "request_id", "allowed",
+                            "retry_after")
 
 
 def _decide(admitted: deque, now: float, window_seconds: float, limit: int) -> tuple[bool, int]:
@@ -124,7 +132,7 @@ class _LimiterWalk:
 
     def decide(self, pdf: pd.DataFrame) -> tuple[list, list]:
         allowed, retry = [], []
-        secs = pdf["ts"].astype("int64").to_numpy() / 1e9
+        secs = pdf["ts_us"].to_numpy() / 1e6
         for client, group, now in zip(pdf["client"], pdf["group"], secs):
             if (client, group) != self.key:
                 self.key, self.admitted = (client, group), deque()
@@ -170,8 +178,9 @@ def rate_limit(requests: DataFrame, window_seconds: float, limits: dict[str, int
     limit_of = (lambda g: limits) if isinstance(limits, int) else (lambda g: limits.get(g))
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["client", "group", "ts", "request_id"]
-    ordered = (requests.select("client", "group", F.col("ts").cast("timestamp").alias("ts"), "request_id")
+    keys = ["client", "group", "ts_us", "request_id"]
+    ordered = (requests.select("client", "group", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                               "request_id")
                .repartitionByRange(n, *keys)
                .sortWithinPartitions(*keys)
                .withColumn("pid", F.spark_partition_id())
@@ -221,9 +230,9 @@ def rate_limit(requests: DataFrame, window_seconds: float, limits: dict[str, int
             allowed, retry = walk.decide(pdf)
             out = pdf.assign(allowed=allowed, retry_after=retry)
             out["retry_after"] = out["retry_after"].astype("int32")
-            yield out[["client", "group", "ts", "request_id", "allowed", "retry_after"]]
+            yield out[_DECISION_COLS]
 
-    return ordered.mapInPandas(scan, DECISION_SCHEMA)
+    return _with_ts(ordered.mapInPandas(scan, _DECISIONS_US))
 
 
 STATE_SCHEMA = T.StructType([T.StructField("admitted", T.ArrayType(T.DoubleType()))])
@@ -247,9 +256,9 @@ def rate_limit_stream(requests: DataFrame, window_seconds: float, limits: dict[s
             return
         admitted = deque(state.get[0] if state.exists else [])
         frames = list(batches)
-        pdf = pd.concat(frames).sort_values(["ts", "request_id"]) if frames else pd.DataFrame()
+        pdf = pd.concat(frames).sort_values(["ts_us", "request_id"]) if frames else pd.DataFrame()
         allowed, retry = [], []
-        for now in (pdf["ts"].astype("int64").to_numpy() / 1e9 if len(pdf) else []):
+        for now in (pdf["ts_us"].to_numpy() / 1e6 if len(pdf) else []):
             limit = limit_of(group)
             ok, after = (True, 0) if limit is None else _decide(admitted, float(now), window_seconds, limit)
             allowed.append(ok)
@@ -258,12 +267,14 @@ def rate_limit_stream(requests: DataFrame, window_seconds: float, limits: dict[s
         if admitted:
             state.setTimeoutTimestamp(int((admitted[-1] + window_seconds) * 1000))
         if len(pdf):
-            out = pdf[["ts", "request_id"]].assign(client=client, group=group, allowed=allowed, retry_after=retry)
+            out = pdf[["ts_us", "request_id"]].assign(client=client, group=group, allowed=allowed, retry_after=retry)
             out["retry_after"] = out["retry_after"].astype("int32")
-            yield out[["client", "group", "ts", "request_id", "allowed", "retry_after"]]
+            yield out[_DECISION_COLS]
 
-    return (requests.withWatermark("ts", watermark).groupBy("client", "group")
-            .applyInPandasWithState(step, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    keyed = requests.withWatermark("ts", watermark).select(
+        "client", "group", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "request_id")
+    return _with_ts(keyed.groupBy("client", "group").applyInPandasWithState(
+        step, _DECISIONS_US, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # --- R4 client address ----------------------------------------------------------------

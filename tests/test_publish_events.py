@@ -258,3 +258,25 @@ def test_exact_percentiles_match_builtin_on_split_hot_group(spark):
     assert set(got) == set(want) and "nulls" not in got
     for path, r in want.items():
         assert all(got[path][n] == r[n] for n in ps), path
+
+
+def test_rate_limit_is_time_zone_independent(spark):
+    """Across a daylight-saving change in the session zone, decisions follow real
+    elapsed time and every timestamp comes back unchanged."""
+    utc = dt.timezone.utc
+    start = dt.datetime(2024, 11, 3, 4, 0, tzinfo=utc)  # 00:00 EDT; clocks fall back at 06:00 UTC
+    stamps = [start + dt.timedelta(minutes=12 * i) for i in range(30)]
+    rows = [(i, ts, "c", "general") for i, ts in enumerate(stamps)]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        req = spark.createDataFrame(rows, "request_id long, ts timestamp, client string, group string")
+        out = ev.rate_limit(req, 3600, {"general": 3}, partitions=4).select(
+            "request_id", F.unix_micros("ts").alias("us"), "allowed", "retry_after").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    got = {r.request_id: (r.us, r.allowed, r.retry_after) for r in out}
+    secs = [(ts - start).total_seconds() for ts in stamps]
+    expected = reference_limiter(secs, 3600, 3)
+    for i, ts in enumerate(stamps):
+        assert got[i] == (int(ts.timestamp() * 1_000_000), *expected[i]), i
