@@ -57,7 +57,7 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str
     distinct latencies; ``watermark`` bounds how long windows stay open). ``approximate=True`` uses the
     mergeable ``percentile_approx`` sketch in either form.
     """
-    from statlake.operators.quantiles import exact_percentiles
+    from statlake.operators.quantiles import exact_percentiles, null_safe_join
 
     df = requests.withWatermark("ts", watermark) if watermark else requests
     d = F.col("duration_ms")
@@ -78,7 +78,8 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str
                 .withColumn("window_start", F.col("w.start")).select(*cols))
     keyed = df.select("path", F.window("ts", window).start.alias("window_start"), "status", "duration_ms")
     pct = exact_percentiles(keyed, ["path", "window_start"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    return keyed.groupBy("path", "window_start").agg(*counts).join(pct, ["path", "window_start"], "left").select(*cols)
+    return null_safe_join(keyed.groupBy("path", "window_start").agg(*counts), pct, ["path", "window_start"],
+                          "left").select(*cols)
 
 
 # --- R3 sliding-window rate limiter -------------------------------------------------

@@ -249,7 +249,7 @@ def test_exact_percentiles_match_builtin_on_split_hot_group(spark):
     rows = [("hot", round(rnd.expovariate(0.01), 1)) for _ in range(3000)]
     rows += [("hot", 5.0)] * 200  # duplicates straddling chunk edges
     rows += [(f"k{i % 7}", float(rnd.randint(0, 50))) for i in range(300)]
-    rows += [("one", 42.0), ("nulls", None)]
+    rows += [("one", 42.0), ("nulls", None), (None, 3.0), (None, 9.0)]
     df = spark.createDataFrame(rows, "path string, d double")
     ps = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
     got = {r.path: r for r in exact_percentiles(df, ["path"], "d", ps, partitions=16).collect()}
