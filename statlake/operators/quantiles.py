@@ -22,19 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _null_safe(left: DataFrame, right: DataFrame, cols: list[str], right_prefix: str = "") -> F.Column:
-    cond = None
-    for c in cols:
-        eq = left[c].eqNullSafe(right[f"{right_prefix}{c}"])
-        cond = eq if cond is None else cond & eq
-    return cond
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` treating null = null, with the key columns kept once (from ``left``)."""
-    renamed = right.select(*[F.col(c).alias(f"r_{c}") for c in keys], *[c for c in right.columns if c not in keys])
-    return left.join(renamed, _null_safe(left, renamed, keys, "r_"), how).drop(*[f"r_{c}" for c in keys])
+from statlake.operators.joins import null_safe_on
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, percentages: dict[str, float],
@@ -69,11 +57,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, percentages: d
     # key joins are null-safe: a null key (e.g. a null time window) is a group like any other
     on = [*keys, "pid"]
     needed = targets.select(*on).distinct()
-    ranked = (chunked.join(needed, _null_safe(chunked, needed, on), "left_semi")
+    ranked = (chunked.join(needed, null_safe_on(chunked, needed, on), "left_semi")
               .withColumn("upto", F.sum("c").over(
                   Window.partitionBy(*on).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))))
     tgt = targets.select(*[F.col(c).alias(f"t_{c}") for c in on], "name", "side", "pos", "k", "before")
-    hits = (ranked.join(tgt, _null_safe(ranked, tgt, on, "t_"))
+    hits = (ranked.join(tgt, null_safe_on(ranked, tgt, on, "t_"))
             .where((F.col("k") >= F.col("before") + F.col("upto") - F.col("c"))
                    & (F.col("k") < F.col("before") + F.col("upto"))))
     picked = hits.groupBy(*keys, "name").agg(

@@ -27,6 +27,7 @@ from statlake.functions.expr import (
     ratio,
     ratio_dec,
 )
+from statlake.operators.joins import null_safe_join
 from statlake.operators.shot_filters import SUBJECT, ShotFilters, enriched_shots, with_subjects
 from statlake.sources.tables import Tables
 
@@ -73,7 +74,7 @@ def _with_league(agg: DataFrame, t: Tables, f: ShotFilters, by: list[str]) -> Da
     (A window over the aggregated subject rows would read the shots once, but
     it puts every subject of a season -- or season and zone -- into one task.)
     """
-    return agg.join(league_context(t, f, by), ["season", *by], "left")
+    return null_safe_join(agg, league_context(t, f, by), ["season", *by], "left")
 
 
 def shot_summary(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:

@@ -57,7 +57,8 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str
     distinct latencies; ``watermark`` bounds how long windows stay open). ``approximate=True`` uses the
     mergeable ``percentile_approx`` sketch in either form.
     """
-    from statlake.operators.quantiles import exact_percentiles, null_safe_join
+    from statlake.operators.joins import null_safe_join
+    from statlake.operators.quantiles import exact_percentiles
 
     df = requests.withWatermark("ts", watermark) if watermark else requests
     d = F.col("duration_ms")
