@@ -114,7 +114,11 @@ def shot_sample(t: Tables, f: ShotFilters = ShotFilters(), max_points: int = 250
     # so one level would give a hot subject's task k x P rows; first cut per (subject, group
     # of ~sqrt(P) input partitions), then per subject -- each task gets at most ~k x sqrt(P).
     # Exact: a subject's k smallest keys are among the k smallest of their own group.
-    groups = max(1, math.isqrt(max(s.rdd.getNumPartitions() - 1, 0)) + 1)
+    # P from planning only: the shot scan's splits, or the shuffle partitions when the
+    # enriched join re-partitions (asking the joined frame would run its shuffle stages)
+    spark = t.shot_attempts.sparkSession
+    p = max(t.shot_attempts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = math.isqrt(p - 1) + 1
     s = s.withColumn("part_group", F.spark_partition_id() % F.lit(groups))
     first = s.withColumn(
         "group_rank", F.row_number().over(Window.partitionBy(*SUBJECT, "part_group").orderBy("sample_key"))
