@@ -280,3 +280,14 @@ def test_rate_limit_is_time_zone_independent(spark):
     expected = reference_limiter(secs, 3600, 3)
     for i, ts in enumerate(stamps):
         assert got[i] == (int(ts.timestamp() * 1_000_000), *expected[i]), i
+
+
+def test_batch_request_metrics_do_not_use_the_single_task_percentile(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=i), "/api/a", 200, float(i % 97)) for i in range(500)]
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, path string, status int, duration_ms double")
+    out = ev.request_metrics(df)
+    out.collect()
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "percentile(" not in text and "RangePartitioning" not in text  # chunks come from the checkpoint
+    assert "Scan ExistingRDD" in text or "ExistingRDD" in text
