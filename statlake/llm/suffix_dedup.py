@@ -26,9 +26,9 @@ from statlake.llm.deep_shallow import equal_suffixes
 LENGTH = 50
 #: Bytes under one hash of the minimizer, and the longest run of windows in one segment (a longer run is cut).
 GRAM, MAX_RUN = 16, 200
-#: Text handled at once by a task before the shuffle, and after it.
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
-BUCKETS_PER_PARTITION = 16
+#: Text hashed at once, text whose segments are dealt together (larger blobs compress better), text of a bucket sorted at once.
+HASH_BYTES, BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20, 8 << 20
+BUCKETS_PER_PARTITION = 8
 #: One segment: document and text key (number in the blob's list), place of its first window, windows, minimizer.
 _SEGMENT = np.dtype([("doc", "<u4"), ("pos", "<i8"), ("run", "<u2"), ("low", "<u4")])
 _SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
@@ -53,10 +53,10 @@ def window_hashes(text: np.ndarray, length: int) -> np.ndarray:
 
 
 def _pieces(ids: list[int], keys: list[int], texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(document, text key, offset, bytes) of at most BLOCK_BYTES windows; a longer text gives several that overlap by length - 1."""
+    """(document, text key, offset, bytes) of at most HASH_BYTES windows; a longer text gives several that overlap by length - 1."""
     for i, key, text in zip(ids, keys, texts):
-        for at in range(0, len(text) - length + 1, BLOCK_BYTES):
-            yield i, key, at, text[at: at + BLOCK_BYTES + length - 1]
+        for at in range(0, len(text) - length + 1, HASH_BYTES):
+            yield i, key, at, text[at: at + HASH_BYTES + length - 1]
 
 
 def _pack(segments: np.ndarray, raw: bytes, spans: np.ndarray, docs: np.ndarray) -> bytes:
@@ -85,20 +85,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return docs, segments, spans, data[at: at + n_raw]
 
 
-def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int) -> tuple[list[int], list[bytes]]:
-    """The segments of some pieces as one blob for each bucket.
-
-    A segment that a smaller document of these pieces has too is decided
-    here (a passage that very many documents share leaves a task once).
-    """
-    pieces = sorted(pieces, key=lambda p: (p[0], p[1], p[2]))
-    docs = np.array([(p[0], p[1]) for p in pieces], "<i8").reshape(-1, 2)
-    sizes = np.array([len(p[3]) for p in pieces], np.int64)
-    raw = b"".join(p[3] for p in pieces)
-    text = np.frombuffer(raw, np.uint8)
+def _runs(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one minimizer, inside the pieces: (first window, windows, minimizer hash)."""
     least = window_hashes(text, length)
-    base = np.cumsum(sizes) - sizes
-    whole = np.zeros(len(least) + 1, np.int64)  # windows inside one piece
+    whole = np.zeros(len(least) + 1, np.int64)
     whole[base] += 1
     ends = base + sizes - length + 1
     np.add.at(whole, ends[ends <= len(least)], -1)
@@ -112,20 +102,42 @@ def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int)
         parts = -(-run // MAX_RUN)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, run = np.repeat(first, parts) + nth * MAX_RUN, np.minimum(np.repeat(run, parts) - nth * MAX_RUN, MAX_RUN)
-    low = least[first]
+    return first, run, least[first]
+
+
+def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int) -> tuple[list[int], list[bytes]]:
+    """The segments of some pieces as one blob for each bucket.
+
+    A segment that a smaller document of these pieces has too is decided
+    here (a passage that very many documents share leaves a task once).
+    """
+    pieces = sorted(pieces, key=lambda p: (p[0], p[1], p[2]))
+    docs = np.array([(p[0], p[1]) for p in pieces], "<i8").reshape(-1, 2)
+    sizes = np.array([len(p[3]) for p in pieces], np.int64)
+    base = np.cumsum(sizes) - sizes
+    raw = b"".join(p[3] for p in pieces)
+    offset = np.array([p[2] for p in pieces], np.int64)
+    text, found, at = np.frombuffer(raw, np.uint8), [], 0
+    while at < len(pieces):  # hash some pieces at once
+        to = max(at + 1, int(np.searchsorted(base, base[at] + HASH_BYTES)))
+        lo, hi = int(base[at]), int(base[to - 1] + sizes[to - 1])
+        first, run, low = _runs(text[lo:hi], base[at:to] - lo, sizes[at:to], length)
+        found.append((first + lo, run, low))
+        at = to
+    first, run, low = (np.concatenate([f[i] for f in found]) for i in range(3))
     piece = np.searchsorted(base, first, side="right") - 1
     segments = np.empty(len(first), _SEGMENT)
     segments["doc"], segments["run"], segments["low"] = piece, run, (low >> np.uint64(8)).astype(np.uint32)
-    segments["pos"] = first - base[piece] + np.array([p[2] for p in pieces], np.int64)[piece]
+    segments["pos"] = first - base[piece] + offset[piece]
     spread = (low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
-    bucket = (spread % np.uint64(buckets)).astype(np.int64)
+    bucket = (spread % np.uint64(buckets)).astype(np.int32)
+    last = first + run + length - 1
 
     keep, decided = np.ones(len(first), bool), []
-    begin, end = first.tolist(), (first + run + length - 1).tolist()
     _, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
     seen: dict[bytes, int] = {}
     for i in np.flatnonzero(count[inverse] > 1).tolist():  # in order of documents
-        if docs[seen.setdefault(raw[begin[i]: end[i]], int(piece[i])), 0] < docs[piece[i], 0]:
+        if docs[seen.setdefault(raw[first[i]: last[i]], int(piece[i])), 0] < docs[piece[i], 0]:
             keep[i] = False
             decided.append(i)
     gone = np.zeros(len(decided), _SPAN_OF)
@@ -142,7 +154,8 @@ def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int)
         rows = kept[np.searchsorted(of, b): np.searchsorted(of, b, side="right")]
         lost = gone[np.searchsorted(gone_bucket, b): np.searchsorted(gone_bucket, b, side="right")]
         out_bucket.append(b)
-        out_blob.append(_pack(segments[rows], b"".join([raw[begin[i]: end[i]] for i in rows.tolist()]), lost, docs))
+        held = b"".join([raw[i:j] for i, j in zip(first[rows].tolist(), last[rows].tolist())])
+        out_blob.append(_pack(segments[rows], held, lost, docs))
     return out_bucket, out_blob
 
 
