@@ -30,6 +30,8 @@ CUTOFF = 37.33
 #: Fewer rows than this: the estimate of the language is used, then that of all rows.
 MIN_GROUP = 200
 _BINS_PER_OCTAVE = 16
+#: Parts of a group that join its estimate apart.
+SALTS = 32
 
 
 def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -142,23 +144,29 @@ def minimum_covariance_determinant(rows: DataFrame, steps: int = STEPS, support:
     sorted or gathered: a step is two partial aggregates however large a group
     is. The start is the estimate of all rows, as for a deterministic MCD.
     """
-    rows = rows.withColumn("one", F.lit(1.0))
-    estimate = materialize(_inverse(_estimate(rows, "one"), 1.0), "mcd")
+    salted = rows.withColumn("one", F.lit(1.0)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    estimate = materialize(_inverse(_estimate(salted, "one"), 1.0), "mcd")
     consistency = _consistency(support)
     for _ in range(steps):
-        binned = rows.join(estimate, "grp").withColumn("bin", _bin(_distance()))
+        binned = _beside(salted, estimate).withColumn("bin", _bin(_distance()))
         upto = W.partitionBy("grp").orderBy("bin")
         cut = (binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
                .withColumn("before", F.sum("c").over(upto) - F.col("c"))
                .withColumn("n", F.sum("c").over(W.partitionBy("grp")))
                .where(F.col("before") < support * F.col("n"))
                .groupBy("grp").agg(F.max("bin").alias("last")))
-        near = (binned.select("grp", "bin", "one", *_FEATURES).join(cut, "grp")
-                .withColumn("one", F.when(F.col("bin") <= F.col("last"), 1.0).otherwise(0.0)))
+        near = _beside(salted, estimate.join(cut, "grp")).withColumn(
+            "one", F.when(_bin(_distance()) <= F.col("last"), 1.0).otherwise(0.0))
         estimate = materialize(_inverse(_estimate(near, "one"), consistency), "mcd")
     return estimate
 
 
+def _beside(salted: DataFrame, per_group: DataFrame) -> DataFrame:
+    """Rows with their group's one-row figures. The figures are repeated per salt, so a large group's rows stay in several tasks."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return salted.join(per_group.withColumn("salt", salts), ["grp", "salt"])
+
+
 def _consistency(support: float) -> float:
     """Factor that makes the scatter of the nearest ``support`` share of normal rows consistent (5 dimensions)."""
     grid = np.linspace(1e-4, 60, 200_001)
