@@ -28,9 +28,11 @@ LENGTH = 50
 GRAM, MAX_RUN = 16, 200
 #: Text hashed at once, text whose segments are dealt together (larger blobs compress better), text of a bucket sorted at once.
 HASH_BYTES, BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20, 8 << 20
-BUCKETS_PER_PARTITION = 8
-#: One segment: document and text key (number in the blob's list), place of its first window, windows, minimizer.
-_SEGMENT = np.dtype([("doc", "<u4"), ("pos", "<i8"), ("run", "<u2"), ("low", "<u4")])
+BUCKETS_PER_PARTITION, LEVEL = 4, 6
+#: One segment: document and text key (number in the blob's list), place of its first window, windows, 24 bits of the
+#: minimizer's hash (two that agree share a group: more to sort, the same result); then its place in the bucket's bytes.
+_SEGMENT = np.dtype([("doc", "<u4"), ("pos", "<i8"), ("run", "u1"), ("low", "<u4")])
+_PLACED = np.dtype([*_SEGMENT.descr, ("at", "<i8")])
 _SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
 _SPAN_OF = np.dtype([("doc", "<u4"), ("start", "<i8"), ("end", "<i8")])
 
@@ -59,30 +61,46 @@ def _pieces(ids: list[int], keys: list[int], texts: list[bytes], length: int) ->
             yield i, key, at, text[at: at + HASH_BYTES + length - 1]
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by byte planes (all lowest bytes, then the next): small ones compress to little."""
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n), at + n * width
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=0)
+
+
 def _pack(segments: np.ndarray, raw: bytes, spans: np.ndarray, docs: np.ndarray) -> bytes:
-    """One compressed blob: documents, segments, their bytes one after the other, spans already decided."""
+    """One compressed blob: documents, segments, spans already decided, the segments' bytes one after the other."""
     used = np.unique(np.concatenate([segments["doc"], spans["doc"]]))
-    segments, spans = segments.copy(), spans.copy()
-    segments["doc"], spans["doc"] = np.searchsorted(used, segments["doc"]), np.searchsorted(used, spans["doc"])
-    head = np.array([len(used), len(segments), len(spans), len(raw)], "<i8").tobytes()
-    columns = b"".join(np.ascontiguousarray(segments[c]).tobytes() for c in _SEGMENT.names)
-    return zstandard.ZstdCompressor(level=3).compress(head + docs[used].tobytes() + columns + spans.tobytes() + raw)
+    head = np.array([len(used), len(segments), len(spans)], "<i8").tobytes()
+    doc = np.searchsorted(used, segments["doc"])
+    parts = [_planes(_steps(docs[used, 0]), "<i8"), _planes(docs[used, 1], "<i8"), _planes(_steps(doc), "<i4"),
+             *(_planes(segments[c], _SEGMENT[c].str) for c in ("pos", "run", "low")),
+             _planes(np.searchsorted(used, spans["doc"]), "<i4"), _planes(spans["start"], "<i8"), _planes(spans["end"], "<i8")]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(parts) + raw)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...], bytes]:
     data = zstandard.ZstdDecompressor().decompress(blob)
-    n_docs, n, n_spans, n_raw = np.frombuffer(data, "<i8", 4).tolist()
-    at = 32
-    docs = np.frombuffer(data, "<i8", 2 * n_docs, at).reshape(-1, 2)
-    at += 16 * n_docs
-    segments = np.empty(n, _SEGMENT)
-    for c in _SEGMENT.names:
-        kind = _SEGMENT[c]
-        segments[c] = np.frombuffer(data, kind, n, at)
-        at += n * kind.itemsize
-    spans = np.frombuffer(data, _SPAN_OF, n_spans, at)
-    at += n_spans * _SPAN_OF.itemsize
-    return docs, segments, spans, data[at: at + n_raw]
+    n_docs, n, n_spans = np.frombuffer(data, "<i8", 3).tolist()
+    ids, at = _from_planes(data, 24, n_docs, "<i8")
+    keys, at = _from_planes(data, at, n_docs, "<i8")
+    segments = np.empty(n, _PLACED)
+    doc, at = _from_planes(data, at, n, "<i4")
+    segments["doc"] = np.cumsum(doc)
+    for c in ("pos", "run", "low"):
+        segments[c], at = _from_planes(data, at, n, _SEGMENT[c].str)
+    doc, at = _from_planes(data, at, n_spans, "<i4")
+    start, at = _from_planes(data, at, n_spans, "<i8")
+    end, at = _from_planes(data, at, n_spans, "<i8")
+    return np.stack([np.cumsum(ids), keys], axis=1), segments, (doc.astype(np.int64), start, end), data[at:]
 
 
 def _runs(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +145,7 @@ def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int)
     first, run, low = (np.concatenate([f[i] for f in found]) for i in range(3))
     piece = np.searchsorted(base, first, side="right") - 1
     segments = np.empty(len(first), _SEGMENT)
-    segments["doc"], segments["run"], segments["low"] = piece, run, (low >> np.uint64(8)).astype(np.uint32)
+    segments["doc"], segments["run"], segments["low"] = piece, run, low & np.uint64(0xFFFFFF)
     segments["pos"] = first - base[piece] + offset[piece]
     spread = (low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
     bucket = (spread % np.uint64(buckets)).astype(np.int32)
@@ -265,17 +283,14 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def finish(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
             docs, segments, raws, spans, n_docs, at = [], [], [], [], 0, 0
             for blob in blobs:
-                d, s, decided, raw = _unpack(blob)
-                placed = np.empty(len(s), np.dtype([*_SEGMENT.descr, ("at", "<i8")]))
-                for c in _SEGMENT.names:
-                    placed[c] = s[c]
-                width = s["run"].astype(np.int64) + length - 1
+                d, placed, decided, raw = _unpack(blob)
+                width = placed["run"].astype(np.int64) + length - 1
                 placed["at"] = at + np.cumsum(width) - width
                 placed["doc"] += np.uint32(n_docs)
                 docs.append(d)
                 segments.append(placed)
                 raws.append(raw)
-                spans.append((decided["doc"].astype(np.int64) + n_docs, decided["start"], decided["end"]))
+                spans.append((decided[0] + n_docs, *decided[1:]))
                 n_docs += len(d)
                 at += len(raw)
             docs = np.concatenate(docs)
