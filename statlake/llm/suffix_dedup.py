@@ -63,7 +63,7 @@ def _pieces(ids: list[int], keys: list[int], texts: list[bytes], length: int) ->
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
     """Numbers by byte planes (all lowest bytes, then the next): small ones compress to little."""
-    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes()
 
 
 def _from_planes(data: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
