@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statlake.llm import chat, url_filter, warc
 from statlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +36,30 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statlake.llm.chat import conversation_digests, with_probe
+
+    return conversation_digests(with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statlake.llm.url_filter import judge_urls, rules_table
+
+    return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statlake.llm.quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statlake.llm.warc import archive_report
+
+    return archive_report(table(spark, sf_dir, "pages")).drop("url")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -48,7 +67,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_mixing, op3_packing, op5_suffix_dedup, op8_quality_rules, pipeline)}
+    op1_simhash, op2_mixing, op3_packing, op5_suffix_dedup, op6_chat_format, op7_url_filter,
+    op8_quality_rules, op9_warc, pipeline)}
 
 #: DuckDB text of the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_chat_format": chat.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL,
+                          "op9_warc": warc.ORACLE_SQL}

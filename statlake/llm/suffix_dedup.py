@@ -27,7 +27,7 @@ LENGTH = 50
 #: Bytes under one hash of the minimizer, and the longest run of windows in one segment (a longer run is cut).
 GRAM, MAX_RUN = 16, 200
 #: Text hashed at once, text whose segments are dealt together (larger blobs compress better), text of a bucket sorted at once.
-HASH_BYTES, BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20, 8 << 20
+HASH_BYTES, BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 14 << 20, 3 << 20
 BUCKETS_PER_PARTITION, LEVEL = 4, 6
 #: One segment: document and text key (number in the blob's list), place of its first window, windows, 24 bits of the
 #: minimizer's hash (two that agree share a group: more to sort, the same result); then its place in the bucket's bytes.
@@ -265,6 +265,12 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blobs(held: list) -> Iterator[pa.RecordBatch]:
+            bucket, blob = _deal(held, length, buckets)
+            for at in range(0, len(bucket), 32):
+                yield pa.record_batch([pa.array(bucket[at: at + 32], pa.int32()), pa.array(blob[at: at + 32], pa.binary())],
+                                      names=["bucket", "blob"])
+
         held, size = [], 0
         for batch in sliced(batches, 64):
             texts = (t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist())
@@ -272,12 +278,10 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 held.append(piece)
                 size += len(piece[3])
                 if size >= BLOCK_BYTES:
-                    bucket, blob = _deal(held, length, buckets)
-                    yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "blob"])
+                    yield from blobs(held)
                     held, size = [], 0
         if held:
-            bucket, blob = _deal(held, length, buckets)
-            yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "blob"])
+            yield from blobs(held)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
