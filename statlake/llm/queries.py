@@ -30,6 +30,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statlake.llm.classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statlake.llm.suffix_dedup import suffix_dedup
 
@@ -60,6 +66,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statlake.llm.search import bm25_search, stated_queries
+
+    docs = table(spark, sf_dir, "documents")
+    return bm25_search(docs, stated_queries(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,8 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_mixing, op3_packing, op5_suffix_dedup, op6_chat_format, op7_url_filter,
-    op8_quality_rules, op9_warc, pipeline)}
+    op1_simhash, op2_mixing, op3_packing, op4_quality_classifier, op5_suffix_dedup, op6_chat_format, op7_url_filter,
+    op8_quality_rules, op9_warc, op10_bm25_search, pipeline)}
 
 #: DuckDB text of the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {"op6_chat_format": chat.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL,
