@@ -25,22 +25,22 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: URL
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, refers_to): refers_to is set on the rows to store as revisits.
+    """(page_id, same, refers_to, url, payload): first the decisions (payload null), then the records, for one sort by key.
 
-    Equal payloads (by SHA-256 and length) of at least MIN_REVISIT_BYTES refer
-    to the largest page_id among them; rows that share that page_id, and rows
-    of a group without any page_id, are stored whole.
+    Equal payloads (``same``: SHA-256) of at least MIN_REVISIT_BYTES refer to
+    the largest page_id among them; rows that share that page_id, and rows of
+    a group without any page_id, are stored whole. The decisions come from a
+    table without the payloads, so these are shuffled once, by the range sort.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"),
-                       F.sha2("payload", 256).alias("same"))
-    groups = (rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("same")
-              .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first"))
-    joined = rows.join(groups, "same", "left")
-    later = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first")))
-    return joined.select("page_id", "url", F.when(~later | F.col("first").isNull(), F.col("payload")).alias("payload"),
-                         "payload_bytes", "digest", F.when(later, F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("same", F.unhex(F.sha2("payload", 256)))
+    narrow = rows.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).select("page_id", "same").distinct()
+    groups = narrow.groupBy("same").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "top")
+    later = F.col("top").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("top")))
+    decisions = narrow.join(groups, "same").where(later).select(
+        "page_id", "same", F.col("top").alias("refers_to"), F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    return decisions.unionAll(rows.select("page_id", "same", F.lit(None).cast("long"), "url", "payload"))
 
 
 def _record_id(page_id: int | None, digest: str, url: str) -> str:
@@ -52,19 +52,18 @@ def _header_text(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str, payload: bytes | None, payload_bytes: int, digest: str, refers_to: int | None, day: str) -> bytes:
-    """One record as a gzip member of its own; headers and digests are made anew from the row."""
-    head = _HTTP % payload_bytes
-    block = head if payload is None else head + payload
-    kind = "revisit" if payload is None else "response"
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, day: str) -> bytes:
+    """One record as a gzip member of its own; headers and digests are made anew from the row. With ``refers_to``: a revisit."""
+    digest, head = hashlib.sha1(payload).hexdigest(), _HTTP % len(payload)
+    kind, block = ("response", head + payload) if refers_to is None else ("revisit", head)
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id, digest, url)}", f"WARC-Date: {day}T00:00:00Z",
              f"WARC-Target-URI: {_header_text(url)}", f"WARC-Payload-Digest: sha1:{digest}",
              f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", "Content-Type: application/http;msgtype=response",
              f"Content-Length: {len(block)}"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
-    if payload is None:
-        lines += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}", f"X-Payload-Length: {payload_bytes}"]
+    if refers_to is not None:
+        lines += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}", f"X-Payload-Length: {len(payload)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)  # gzip with no time or name: the same bytes for the same record
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
@@ -111,15 +110,20 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, day: s
     """
     spark = pages.sparkSession
     fs.FileSystem.from_uri(root)[0].create_dir(f"{fs.FileSystem.from_uri(root)[1]}/_temporary", recursive=True)
-    rows = payloads(pages).repartitionByRange("page_id").sortWithinPartitions("page_id", "digest", "url")
+    rows = payloads(pages).repartitionByRange("page_id", "same").sortWithinPartitions(
+        "page_id", "same", F.col("payload").isNotNull(), "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        roller = _Roller(root, TaskContext.get().partitionId(), roll_bytes)
+        roller, revisit = _Roller(root, TaskContext.get().partitionId(), roll_bytes), (None, None, None)
         for batch in sliced(batches, 256):
-            for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "digest", "refers_to"))):
-                roller.write(record(*r, day))
+            for page, same, refers, url, payload in zip(*(batch.column(c).to_pylist() for c in ("page_id", "same", "refers_to", "url", "payload"))):
+                if payload is None:  # the rows of this key that follow are revisits
+                    revisit = (page, same, refers)
+                else:
+                    to = revisit[2] if revisit[:2] == (page, same) else None
+                    roller.write(record(page, url, payload, to, day))
         roller.finish()
         columns = list(zip(*roller.done)) or [[]] * 4
         yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
@@ -166,6 +170,7 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
     its manifest row, or a record that differs from its digests, raises.
     """
     names = spark.read.parquet(f"{root}/_manifest").select("name", "sha256")
+    tasks = max(1, min(names.count(), 10_000))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(root)
@@ -202,7 +207,7 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return (names.repartition("name").mapInArrow(
+    return (names.repartition(tasks, "name").mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"))
 
 
