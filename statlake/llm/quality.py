@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from statlake.llm.common import binary_column, fresh, materialize
+from statlake.llm.common import binary_column, materialize, sliced
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -74,7 +75,7 @@ def with_base_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"{c} long" for c in _COUNTS])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 512):
             counts = np.array([base_counts(t) for t in binary_column(batch, "__text")], np.int64).reshape(-1, len(_COUNTS))
             yield pa.record_batch([*(batch.column(c) for c in carry), *(pa.array(counts[:, i]) for i in range(len(_COUNTS)))],
                                   names=[*carry, *_COUNTS])
@@ -177,11 +178,13 @@ def _consistency(support: float) -> float:
     return support / float(wider[: np.searchsorted(share, support)].sum() / wider.sum())
 
 
-def judge(counts: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds base_failed, distance (squared Mahalanobis; null if base_failed) and kept to (lang, source, counts...)."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = counts.withColumn("base_failed", failed).select("*", *_features())
-    passed = rows.where(~F.col("base_failed"))
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def fit_groups(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """(g_lang, g_source, mean, inv): the robust estimate that each language and source of (lang, source, counts) is judged by."""
+    passed = counts.where(~_failed()).select("lang", "source", *_features())
     # three levels of groups in one table: (lang, source), (lang), all; null languages and sources are groups of their own
     level = lambda *c: F.struct(*[F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("-")).alias(a)
                                   if x else F.lit("").alias(a) for a, x in zip(("lang", "source"), c)])
@@ -192,11 +195,15 @@ def judge(counts: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP)
                           .otherwise(every).alias("grp"))
     choice = materialize(choice, "mcd-groups")
     used = choice.select("grp").distinct()
-    member = passed.select("lang", "source", *_FEATURES, F.explode(F.array(own, lang, every)).alias("grp"))
-    member = member.join(used, "grp", "left_semi").select("grp", *_FEATURES)
-    estimate = minimum_covariance_determinant(member)
-    fitted = choice.join(estimate, "grp").select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "mean", "inv")
+    member = passed.select(*_FEATURES, F.explode(F.array(own, lang, every)).alias("grp"))
+    estimate = minimum_covariance_determinant(member.join(used, "grp", "left_semi").select("grp", *_FEATURES))
+    return materialize(choice.join(estimate, "grp").select(
+        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "mean", "inv").coalesce(4), "mcd-fitted")
+
+
+def judge(rows: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Adds base_failed, distance (squared Mahalanobis; null if base_failed) and kept to rows with lang, source and counts."""
+    rows = rows.select("*", _failed().alias("base_failed"), *_features())
     judged = rows.join(fitted, rows["lang"].eqNullSafe(F.col("g_lang")) & rows["source"].eqNullSafe(F.col("g_source")), "left")
     distance = F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance())
     return judged.withColumn("distance", distance).withColumn(
@@ -218,22 +225,22 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_
     an empty table gives no rows.
     """
     counts = materialize(with_base_counts(docs, ["doc_id", "lang", "source"]), "quality-counts")
-    return judge(counts, cutoff, min_group).select("doc_id", *_COUNTS, "base_failed", "distance", "kept")
+    return judge(counts, fit_groups(counts, min_group), cutoff).select("doc_id", *_COUNTS, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, all columns as they are.
 
-    The counts are a function of (text, lang, source), so rows are matched by a
-    SHA-256 of the text and by lang and source: repeated or null doc_ids do
-    not matter.
+    The counts are taken again from the rows themselves and joined with the
+    small table of estimates, so the texts are not shuffled and repeated or
+    null doc_ids do not matter.
     """
-    key = fresh(docs, "text_key")
-    keyed = docs.withColumn(key, F.sha2(F.encode(F.col("text").cast("string"), "utf-8"), 256))
-    counts = materialize(with_base_counts(keyed, [key, "lang", "source"]), "quality-counts")
-    judged = judge(counts, cutoff, min_group).where("kept").select(
-        F.col(key).alias("k_text"), F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).distinct()
-    return keyed.join(judged, (keyed[key] == F.col("k_text")) & keyed["lang"].eqNullSafe(F.col("k_lang"))
-                      & keyed["source"].eqNullSafe(F.col("k_source")), "left_semi").drop(key)
+    fitted = fit_groups(materialize(with_base_counts(docs, ["lang", "source"]), "quality-counts"), min_group)
 
+    @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([base_counts(None if t is None else bytes(t)) for t in texts], columns=list(_COUNTS), dtype="int64")
 
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept_row"), "lang", "source",
+                       counted(F.encode(F.col("text").cast("string"), "utf-8")).alias("c"))
+    return judge(rows.select("kept_row", "lang", "source", "c.*"), fitted, cutoff).where("kept").select("kept_row.*")

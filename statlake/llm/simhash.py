@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlake.llm.common import NO_ID, binary_column, fresh, long_id, materialize
+from statlake.llm.common import NO_ID, binary_column, fresh, long_id, materialize, sliced
 from statlake.llm.components import connected_components
 
 #: Shingle length and greatest bit distance of the production queries.
@@ -46,7 +46,7 @@ def simhash(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp) of every row: id is doc_id with a missing id last, fp the fingerprint as a signed long."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 512):
             fps = np.fromiter((simhash(t, shingle_words) for t in binary_column(batch, "text")), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
