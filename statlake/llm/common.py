@@ -19,8 +19,19 @@ NO_ID = (1 << 63) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of an Arrow batch: texts run to megabytes, and the default of 10,000 would hold them in the JVM and in Python at once.
+_BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the Arrow batch size to BATCH_ROWS unless the session already has a lower one."""
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_defaults(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +43,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage on storage every executor sees."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, label)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
