@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -80,6 +81,14 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
 
+def release_memory() -> None:
+    """Give memory that a Python task has freed back to the system: workers are reused and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU C library has it
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:

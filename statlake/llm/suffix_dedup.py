@@ -20,14 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlake.llm.common import NO_ID, fresh, long_id, materialize, sliced
+from statlake.llm.common import NO_ID, fresh, long_id, materialize, release_memory, sliced
 from statlake.llm.deep_shallow import equal_suffixes
 
 LENGTH = 50
 #: Bytes under one hash of the minimizer, and the longest run of windows in one segment (a longer run is cut).
 GRAM, MAX_RUN = 16, 200
 #: Text hashed at once, text whose segments are dealt together (larger blobs compress better), text of a bucket sorted at once.
-HASH_BYTES, BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 14 << 20, 3 << 20
+HASH_BYTES, BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20, 3 << 20
 BUCKETS_PER_PARTITION, LEVEL = 4, 6
 #: One segment: document and text key (number in the blob's list), place of its first window, windows, 24 bits of the
 #: minimizer's hash (two that agree share a group: more to sort, the same result); then its place in the bucket's bytes.
@@ -270,6 +270,8 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for at in range(0, len(bucket), 32):
                 yield pa.record_batch([pa.array(bucket[at: at + 32], pa.int32()), pa.array(blob[at: at + 32], pa.binary())],
                                       names=["bucket", "blob"])
+            del bucket, blob
+            release_memory()
 
         held, size = [], 0
         for batch in sliced(batches, 64):
@@ -299,6 +301,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 at += len(raw)
             docs = np.concatenate(docs)
             segments, raw = np.concatenate(segments), b"".join(raws)
+            del raws, placed, d
             step = max(1, -(-at // BUCKET_BYTES))  # a large bucket by shares of its minimizers, each whole
             for share in range(step):
                 part = segments[segments["low"] % step == share] if step > 1 else segments
@@ -326,10 +329,13 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if bucket != now and blobs:
                     yield from rows(blobs)
                     blobs = []
+                    release_memory()
                 now = bucket
                 blobs.append(blob)
         if blobs:
             yield from rows(blobs)
+            del blobs
+            release_memory()
 
     dealt = docs.select("id", "text_key", "text").mapInArrow(deal, "bucket int, blob binary")
     return (dealt.repartition("bucket").sortWithinPartitions("bucket")
