@@ -79,7 +79,7 @@ class _Roller:
         if self.out is None:
             self.name = f"part-{self.part:06d}-{self.nth:05d}.warc.gz"
             self.temporary = f"{self.root}/_temporary/{self.name}.{uuid.uuid4().hex}"
-            self.out, self.size, self.records, self.digest = self.files.open_output_stream(self.temporary), 0, 0, hashlib.sha256()
+            self.out, self.size, self.records, self.digest = self.files.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
         self.out.write(data)
         self.digest.update(data)
         self.size += len(data)
