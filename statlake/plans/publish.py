@@ -51,8 +51,8 @@ def delete_season(t: Tables, season: str, confirm: bool = False) -> Tables:
     """K6: remove a season child-to-parent (facts, then the season row); needs confirm=True."""
     if not confirm:
         raise SeasonLifecycleError("delete_season requires confirm=True")
-    keep = F.col("season") != season
-    return Tables(seasons=t.seasons.where(F.col("id") != season), teams=t.teams, players=t.players,
+    keep = ~F.col("season").eqNullSafe(season)  # rows without a season belong to no season and stay
+    return Tables(seasons=t.seasons.where(~F.col("id").eqNullSafe(season)), teams=t.teams, players=t.players,
                   **{n: getattr(t, n).where(keep) for n in FACTS})
 
 

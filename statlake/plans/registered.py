@@ -37,7 +37,7 @@ star("Q17")(shots.shot_sample)
 star("Q18")(shots.shot_zones)
 star("Q19")(shots.shot_profile)
 star("Q20")(lambda t: shots.best_lowest_area(shots.shot_profile(t)))
-star("Q35")(lambda t: shots.shot_heatmap(shots.shot_sample(t)))
+star("Q35")(lambda t: shots.shot_heatmap(shots.subject_shots(t)))
 star("Q37")(lambda t: shots.shot_compare(shots.shot_zones(t), shots.player_team_pairs(t)))
 
 # --- browse / paging -----------------------------------------------------------
@@ -212,6 +212,7 @@ def _s8(spark, sf_dir):
     """S8 over the driver's own files: SHA-256 of every table file, hashed on the executors."""
     from statlake.sources import files as fs
 
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+             "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
     d = fs.file_digests(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
     return d.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "sha256")

@@ -106,18 +106,16 @@ def shot_sample(t: Tables, f: ShotFilters = ShotFilters(), max_points: int = 250
     ahead of the shuffle, so each task ships at most k rows per subject; totals
     come from a grouped count, not from a window over the whole subject.
     """
-    if not 100 <= max_points <= 10000:
-        raise ValueError("max_points must be between 100 and 10000")
+    if max_points < 1:
+        raise ValueError("max_points must be positive")
     s = subject_shots(t, f).withColumn(
         "sample_key", F.md5(F.concat(F.col("game_id"), F.lit(":"), F.col("event_id").cast("string"))))
     # two-level top-k: the partial limit sends k rows per subject from every map partition,
     # so one level would give a hot subject's task k x P rows; first cut per (subject, group
     # of ~sqrt(P) input partitions), then per subject -- each task gets at most ~k x sqrt(P).
     # Exact: a subject's k smallest keys are among the k smallest of their own group.
-    # P from planning only: the shot scan's splits, or the shuffle partitions when the
-    # enriched join re-partitions (asking the joined frame would run its shuffle stages)
-    spark = t.shot_attempts.sparkSession
-    p = max(t.shot_attempts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # P is the session's shuffle partition number: a setting, so no job runs while the query is built
+    p = int(t.shot_attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = math.isqrt(p - 1) + 1
     s = s.withColumn("part_group", F.spark_partition_id() % F.lit(groups))
     first = s.withColumn(
@@ -243,7 +241,7 @@ def best_lowest_area(profile: DataFrame) -> DataFrame:
 
 
 def shot_heatmap(sample: DataFrame) -> DataFrame:
-    """Q35 (A19): bin a subject's sampled shots into 32-unit court cells.
+    """Q35 (A19): bin a subject's shots into 32-unit court cells (all attempts, or a Q17 sample).
 
     radius = 7 + 18*sqrt(n/max), opacity = 0.18 + 0.55*n/max, max per subject
     (taken over the binned cells, so the window sees at most ~270 rows).

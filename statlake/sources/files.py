@@ -88,9 +88,13 @@ def read_clean_csv(spark: SparkSession, path: str, columns: list[str] | None = N
 
     All columns are read as strings, so parsing is left to the contract rules
     (V5/V6 + ``try_cast``); extra columns are projected away, missing ones
-    are reported by V3.
+    are reported by V3. A line with more or fewer fields than the header
+    fails the read (whole lines are parsed whatever columns are used).
     """
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    # the header alone, then the lines with its names as an all-text schema, so that malformed lines fail
+    header = spark.read.option("header", True).csv(path).schema
+    df = (spark.read.schema(header).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+          .option("columnPruning", False).csv(path))
     if columns is not None:
         keep = [c for c in columns if c in df.columns]
         df = df.select(*keep)

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from statlake.sources.files import exists
 from pyspark.sql import types as T
 
 RESULTSET_SCHEMA = T.StructType([
@@ -93,8 +95,10 @@ def combine_partitioned_extract(docs: DataFrame, team_of_file: DataFrame, index:
 
 def land_if_absent(df: DataFrame, path: str, force: bool = False) -> None:
     """Land raw data once; an existing landing is kept unless ``force``.
-    The Spark commit protocol publishes the files with ``_SUCCESS`` only when complete."""
-    df.write.mode("overwrite" if force else "ignore").json(path)
+    Spark adds ``_SUCCESS`` when all files are complete: a folder without it is
+    what a killed job left, and is landed again."""
+    if force or not exists(df.sparkSession, f"{path.rstrip('/')}/_SUCCESS"):
+        df.write.mode("overwrite").json(path)
 
 
 def requested_team_by_file(docs: DataFrame, pattern: str = r"team-(\d+)\.json$") -> DataFrame:

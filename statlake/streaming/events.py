@@ -281,21 +281,26 @@ def rate_limit_stream(requests: DataFrame, window_seconds: float, limits: dict[s
 
 # --- R4 client address ----------------------------------------------------------------
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
-IPV6 = r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"
+_H16 = "[0-9A-Fa-f]{1,4}"
+_LS32 = f"({_H16}:{_H16}|{IPV4[1:-1]})"
+#: RFC 3986's forms: the groups before '::' and the groups after it.
+IPV6 = "^(" + "|".join([f"({_H16}:){{6}}{_LS32}", *(
+    (f"(({_H16}:){{0,{before - 1}}}{_H16})?::" if before else "::") + (f"({_H16}:){{{5 - before}}}{_LS32}" if before <= 5 else _H16 if before == 6 else "")
+    for before in range(8))]) + ")$"
 
 
 def client_key(edge_header: Column, forwarded_for: Column, peer: Column, trusted_hops: int = 1,
                trust_edge: bool = False) -> Column:
     """The edge's attributed address if trusted and a valid IP; else the hop appended by
     the trusted proxy (``trusted_hops`` from the right) when the chain is long enough; else
-    the peer; else 'unknown' (each at most 100 characters)."""
+    the peer; else 'unknown'. Values are kept whole, so two clients never share a key."""
     attributed = F.trim(edge_header)
-    valid = (F.length(attributed) > 0) & (F.length(attributed) <= 45) & (attributed.rlike(IPV4) | attributed.rlike(IPV6))
+    valid = attributed.rlike(IPV4) | attributed.rlike(IPV6)
     hops = F.filter(F.transform(F.split(F.coalesce(forwarded_for, F.lit("")), ","), lambda h: F.trim(h)),
                     lambda h: F.length(h) > 0)
     from_chain = F.when((F.size(hops) >= trusted_hops) & F.lit(trusted_hops >= 1),
-                        F.substring(F.element_at(hops, -trusted_hops), 1, 100))
-    fallback = F.when(F.coalesce(F.length(peer), F.lit(0)) > 0, F.substring(peer, 1, 100)).otherwise(F.lit("unknown"))
+                        F.element_at(hops, -trusted_hops))
+    fallback = F.when(F.coalesce(F.length(peer), F.lit(0)) > 0, peer).otherwise(F.lit("unknown"))
     chosen = F.coalesce(from_chain, fallback)
     if trust_edge:
         return F.when(F.coalesce(valid, F.lit(False)), attributed).otherwise(chosen)
