@@ -25,6 +25,7 @@ star("A9")(season.minimum_games)
 
 
 # --- shot charts ---------------------------------------------------------------
+from statlake.operators.shot_filters import ShotFilters  # noqa: E402
 from statlake.plans import shots  # noqa: E402
 
 star("Q11")(shots.shot_players)
@@ -33,6 +34,15 @@ star("Q13")(shots.shot_games)
 star("Q14")(shots.shot_export_rows)
 star("Q15")(shots.shot_summary)
 star("Q16")(shots.league_shot_context)
+# the product's filters: context predicates, one subject, and ``made`` (which leaves the league out)
+FILTERED = {
+    "Q15_opponent": ShotFilters(opponent_id=3, period=2, shot_type="3PT Field Goal"),
+    "Q15_team": ShotFilters(season="1995-96", team_id=5, home_away="home", date_from="1995-11-01", date_to="1996-03-31"),
+    "Q15_made": ShotFilters(made=True, home_away="away"),
+}
+for _name, _f in FILTERED.items():
+    star(_name)(lambda t, _f=_f: shots.shot_summary(t, _f))
+star("Q18_opponent")(lambda t: shots.shot_zones(t, FILTERED["Q15_opponent"]))
 star("Q17")(shots.shot_sample)
 star("Q18")(shots.shot_zones)
 star("Q19")(shots.shot_profile)
