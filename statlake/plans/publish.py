@@ -130,7 +130,8 @@ def integrity_violations(t: Tables) -> DataFrame:
     of this game's teams/season)."""
     g = t.games.select(F.col("id").alias("game_id"), F.col("season").alias("g_season"), "home_team_id", "away_team_id",
                        "home_score", "away_score")
-    tgs = t.team_game_stats.join(g, "game_id")
+    once = g.distinct()  # copies of a game row must not multiply its team rows
+    tgs = t.team_game_stats.join(once, "game_id")
     any_home = tgs.groupBy("game_id").agg(F.max(F.col("is_home").cast("int")).alias("has_home"))
     part = (F.col("team_id") == F.col("home_team_id")) | (F.col("team_id") == F.col("away_team_id"))
     expected_pts = F.when(F.col("team_id") == F.col("home_team_id"), F.col("home_score")).otherwise(F.col("away_score"))
@@ -139,7 +140,7 @@ def integrity_violations(t: Tables) -> DataFrame:
         | ((F.col("is_home") != (F.col("team_id") == F.col("home_team_id"))) & (F.col("has_home") == 1))
         | (F.col("points") != expected_pts))
     tcount = tbad.groupBy("game_id").agg(F.count(F.lit(1)).alias("n_team_rows"), F.count_if("bad").alias("team_bad"))
-    pbad = t.player_game_stats.join(g, "game_id").where(
+    pbad = t.player_game_stats.join(once, "game_id").where(
         (F.col("season") != F.col("g_season")) | ~part).select("game_id").distinct().withColumn("player_bad", F.lit(1))
     j = g.join(tcount, "game_id", "left").join(pbad, "game_id", "left")
     bad = ((F.length("game_id") != 10) | ~F.coalesce(F.col("n_team_rows") == 2, F.lit(False))

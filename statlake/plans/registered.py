@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statlake.plans import season
 from statlake.plans.catalog import star
+from statlake.sources.seeded import core_roster, seed_faults, seed_seasons, seed_text_faults
 
 # --- scans of the star schema (S4) -------------------------------------------
 for _name in ("seasons", "teams", "players", "games", "team_game_stats", "player_game_stats", "shot_attempts"):
@@ -14,7 +15,7 @@ star("Q5")(season.team_season_summary)
 star("Q6")(season.team_players)
 star("Q9")(season.player_season_averages)
 star("Q22")(season.head_to_head)
-star("Q28")(season.leaders)
+star("Q28")(lambda t: season.leaders(core_roster(t)))
 star("Q29")(season.standings)
 star("Q30")(season.team_standings_view)
 star("Q31")(season.player_season_averages_view)
@@ -80,31 +81,52 @@ def _per_season(v):
     return v.groupBy("season").agg(F.count(F.lit(1)).alias("violations"))
 
 
+# the rules run over tables with seeded faults (clean tables break none of them); the
+# summaries V, X and D27 run over both
+def _faulty_text(t):
+    return seed_text_faults(rules.as_text(seed_faults(t)))
+
+
+def _contract(raw):
+    return rules.violation_counts(rules.contract_report(raw)).drop("detail")
+
+
 for _rule in rules.TEXT_RULES:
-    star(_rule.rule_id)(lambda t, _r=_rule: _per_season(_r.fn(rules.as_text(t))))
-for _rule in rules.TYPED_RULES:
-    star(_rule.rule_id)(lambda t, _r=_rule: _per_season(_r.fn(rules.typed(rules.as_text(t)))))
-star("V22")(lambda t: rules.v22_corrections(rules.typed(rules.as_text(t))))
-star("V")(lambda t: rules.violation_counts(rules.contract_report(rules.as_text(t))).drop("detail"))
-star("X")(rules.constraint_counts)
+    star(_rule.rule_id)(lambda t, _r=_rule: _per_season(_r.fn(_faulty_text(t))))
+for _rule in [*rules.TYPED_RULES, rules.Rule("V16", rules.v16_home_flags), rules.Rule("V17", rules.v17_points)]:
+    star(_rule.rule_id)(lambda t, _r=_rule: _per_season(_r.fn(rules.typed(_faulty_text(t)))))
+star("V22")(lambda t: rules.v22_corrections(rules.typed(_faulty_text(t))))
+star("V")(lambda t: _contract(_faulty_text(t)))
+star("V_clean")(lambda t: _contract(rules.as_text(t)))
+star("X")(lambda t: rules.constraint_counts(seed_faults(t)))
+star("X_clean")(rules.constraint_counts)
 for _cid, _fn in quality.CHECKS.items():
-    star(_cid)(_fn)
-star("D27")(quality.quality_report)
+    star(_cid)(lambda t, _fn=_fn: _fn(seed_faults(t)))
+star("D27")(lambda t: quality.quality_report(seed_faults(t)))
+star("D27_clean")(quality.quality_report)
 
 # --- official aggregate cross-check (G) ---------------------------------------------
 from statlake.operators import crosscheck as cc  # noqa: E402
 
 
 def _staged_feeds(t):
-    """Provider feeds staged from the data: the local totals in the provider layout with
-    its typical one-count corrections (FGA/FG3A off by one on alternate game counts, and
-    points off by one for every seventh team id) so that both tolerance paths are exercised."""
-    lt = cc.local_team_totals(t)
-    lt = lt.withColumn("fga", F.col("fga") + F.pmod(F.col("games_played"), F.lit(2))).withColumn(
-        "points", F.col("points") + F.when(F.pmod(F.col("team_id"), F.lit(7)) == 0, 1).otherwise(0))
-    lp = cc.local_player_totals(t).withColumn("fg3a", F.col("fg3a") + F.pmod(F.col("games_played"), F.lit(2)))
-    return (cc.as_feed(lt, "team_id", "TEAM_ID", cc.TEAM_STATS),
-            cc.as_feed(lp, "player_id", "PLAYER_ID", cc.PLAYER_STATS))
+    """Provider feeds staged from the data: the local totals in the provider layout with its
+    typical one-count corrections (FGA/FG3A off by one on odd game counts, points off by one
+    for every seventh team id, so that both tolerance paths run), a null total (every 13th id),
+    ids left out (every 11th) and ids that only the feed has (every fifth again under a new id)."""
+    lt, lp = cc.local_team_totals(t), cc.local_player_totals(t)
+    odd = F.pmod(F.col("games_played"), F.lit(2))
+    seventh = F.when(F.pmod(F.col("team_id"), F.lit(7)) == 0, 1).otherwise(0)
+    teams = lt.withColumns({"fga": F.col("fga") + odd, "points": F.col("points") + seventh})
+    players = lp.withColumn("fg3a", F.col("fg3a") + odd)
+    return (cc.as_feed(_gaps(teams, lt, "team_id"), "team_id", "TEAM_ID", cc.TEAM_STATS),
+            cc.as_feed(_gaps(players, lp, "player_id"), "player_id", "PLAYER_ID", cc.PLAYER_STATS))
+
+
+def _gaps(totals, local, idcol):
+    every = lambda n: F.pmod(F.col(idcol), F.lit(n)) == 0
+    kept = totals.where(~every(11)).withColumn("points", F.when(~every(13), F.col("points")))
+    return kept.unionByName(local.where(every(5)).withColumn(idcol, F.col(idcol) + 9_000_000))
 
 
 star("G1")(cc.local_team_totals)
@@ -142,10 +164,10 @@ def _k4(t):
 star("K4")(_k4)
 star("K5")(lambda t: pub.prune_not_in(t.players, t.player_game_stats.select(F.col("player_id").alias("id")), ["id"]))
 star("K7")(lambda t: pub.delete_season_by_game(t, _latest_season(t)).shot_attempts)
-star("M3")(pub.integrity_violations)
+star("M3")(lambda t: pub.integrity_violations(seed_faults(t)))
 star("U3")(lambda t: pub.residue(t, _latest_season(t)))
 star("A14")(pub.season_ids)
-star("M6")(pub.restored_matches)
+star("M6")(lambda t: pub.restored_matches(seed_seasons(t)))
 
 # --- operational event jobs (R) -----------------------------------------------------
 from statlake.plans.catalog import raw  # noqa: E402
@@ -212,7 +234,7 @@ star("C10")(lambda t: t.shot_attempts.select("game_id", "event_id", fx.normalize
                                              fx.points_value().alias("points_value")))
 star("C17")(lambda t: t.shot_attempts.select("game_id", "event_id", fx.court_x("loc_x").alias("x"),
                                              fx.court_y("loc_y").alias("y")))
-star("A18")(lambda t: t.shot_attempts.groupBy("season", "game_id", "player_id").agg(
+star("A18")(lambda t: seed_faults(t).shot_attempts.groupBy("season", "game_id", "player_id").agg(
     F.count_distinct("team_id").alias("teams")).where(F.col("teams") > 1))
 star("W2")(lambda t: season.leaders(t, apply_minimum=False))
 

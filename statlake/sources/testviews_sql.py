@@ -192,3 +192,133 @@ def with_prefix(body: str) -> str:
     if body.startswith(","):
         return PREFIX + body
     return PREFIX + "\n" + body
+
+
+# --- seeded faults (see seeded.py) -----------------------------------------------------
+def _n(column: str) -> str:
+    return f"CAST(substr({column}, 4, 7) AS INTEGER)"
+
+
+_FAULTY = f"""
+, g_r AS (SELECT *, {_n('id')} % 101 AS r FROM games),
+g_all AS (SELECT * FROM g_r UNION ALL SELECT * FROM g_r WHERE r = 7),
+fx_games AS (
+  SELECT CASE r WHEN 9 THEN '003' || substr(id, 4, 7) ELSE id END AS id,
+         CASE r WHEN 5 THEN NULL ELSE game_date END AS game_date, season,
+         CASE r WHEN 8 THEN 999 ELSE home_team_id END AS home_team_id,
+         CASE r WHEN 4 THEN home_team_id ELSE away_team_id END AS away_team_id,
+         CASE r WHEN 1 THEN -home_score WHEN 2 THEN NULL ELSE home_score END AS home_score,
+         CASE r WHEN 3 THEN -5 ELSE away_score END AS away_score
+  FROM g_all
+),
+t_r AS (SELECT *, {_n('game_id')} % 101 AS r FROM team_game_stats),
+t_all AS (
+  SELECT * FROM t_r WHERE r <> 14 AND NOT (r = 13 AND NOT is_home)
+  UNION ALL SELECT * FROM t_r WHERE r = 15 AND NOT is_home
+),
+fx_team_game_stats AS (
+  SELECT * EXCLUDE (r) REPLACE (
+    CASE WHEN r = 11 AND is_home THEN points + 1 WHEN r = 17 AND is_home THEN -3 ELSE points END AS points,
+    is_home OR r = 12 AS is_home,
+    CASE WHEN r = 16 AND is_home THEN 998 ELSE team_id END AS team_id,
+    CASE WHEN r = 17 AND is_home THEN -1 ELSE rebounds END AS rebounds,
+    CASE WHEN r = 17 AND is_home THEN -1 ELSE assists END AS assists,
+    CASE WHEN r = 18 AND is_home THEN fga + 1 ELSE fgm END AS fgm,
+    CASE WHEN r = 18 AND is_home THEN fg3a + 1 ELSE fg3m END AS fg3m,
+    CASE WHEN r = 18 AND is_home THEN fta + 1 ELSE ftm END AS ftm,
+    CASE WHEN r = 19 AND is_home THEN '1900-01' ELSE season END AS season)
+  FROM t_all
+),
+p_r AS (SELECT *, {_n('game_id')} % 101 AS r FROM player_game_stats),
+p_all AS (SELECT * FROM p_r WHERE r <> 30 UNION ALL SELECT * FROM p_r WHERE r = 23),
+fx_player_game_stats AS (
+  SELECT * EXCLUDE (r) REPLACE (
+    CASE r WHEN 21 THEN -1 WHEN 29 THEN 101 ELSE points END AS points,
+    CASE r WHEN 21 THEN -1 ELSE rebounds END AS rebounds,
+    CASE r WHEN 21 THEN -1 ELSE assists END AS assists,
+    CASE r WHEN 22 THEN fga + 1 ELSE fgm END AS fgm,
+    CASE r WHEN 22 THEN fg3a + 1 ELSE fg3m END AS fg3m,
+    CASE r WHEN 22 THEN fta + 1 ELSE ftm END AS ftm,
+    CASE r WHEN 24 THEN '1900-01' ELSE season END AS season,
+    CASE r WHEN 25 THEN player_id + 5000000 ELSE player_id END AS player_id,
+    CASE r WHEN 26 THEN 997 ELSE team_id END AS team_id,
+    CASE r WHEN 27 THEN fga + 1 WHEN 28 THEN fga + 2 ELSE fga END AS fga,
+    CASE r WHEN 27 THEN fg3a + 1 ELSE fg3a END AS fg3a,
+    CASE r WHEN 29 THEN CAST(1.5 AS DECIMAL(5,3)) ELSE fg_pct END AS fg_pct)
+  FROM p_all
+),
+s_r AS (SELECT *, {_n('game_id')} % 101 AS r FROM shot_attempts),
+s_all AS (
+  SELECT *, FALSE AS again FROM s_r WHERE r <> 40
+  UNION ALL SELECT *, TRUE FROM s_r WHERE r IN (36, 39)
+),
+fx_shot_attempts AS (
+  SELECT * EXCLUDE (r, again) REPLACE (
+    CASE r WHEN 31 THEN 21 ELSE period END AS period,
+    CASE r WHEN 32 THEN 401 ELSE loc_x END AS loc_x,
+    CASE r WHEN 32 THEN -101 ELSE loc_y END AS loc_y,
+    CASE r WHEN 33 THEN 13 ELSE minutes_remaining END AS minutes_remaining,
+    CASE r WHEN 33 THEN 101 ELSE shot_distance END AS shot_distance,
+    CASE r WHEN 34 THEN '4PT Field Goal' ELSE shot_type END AS shot_type,
+    CASE r WHEN 35 THEN '  ' ELSE zone_area END AS zone_area,
+    CASE WHEN r = 36 AND again THEN '1900-01' ELSE season END AS season,
+    CASE r WHEN 37 THEN player_id + 5000000 ELSE player_id END AS player_id,
+    CASE WHEN r = 38 THEN 996 WHEN r = 39 AND again THEN 995 ELSE team_id END AS team_id,
+    CASE WHEN r = 39 AND again THEN event_id + 100 ELSE event_id END AS event_id)
+  FROM s_all
+),
+fx_seasons AS (
+  SELECT * REPLACE (
+    CASE start_year WHEN 2000 THEN games_count + 1 WHEN 1996 THEN -1 ELSE games_count END AS games_count,
+    CASE start_year WHEN 2000 THEN players_count + 1 ELSE players_count END AS players_count,
+    CASE start_year WHEN 1994 THEN 'failed' ELSE verification_status END AS verification_status,
+    CASE start_year WHEN 1994 THEN 'xyz' WHEN 1996 THEN NULL ELSE manifest_sha256 END AS manifest_sha256,
+    CASE start_year WHEN 1995 THEN shot_attempts_count - 1 ELSE shot_attempts_count END AS shot_attempts_count,
+    CASE start_year WHEN 1995 THEN end_year + 1 ELSE end_year END AS end_year)
+  FROM seasons WHERE start_year <> 1999
+  UNION ALL
+  SELECT * REPLACE ('2030-31' AS id, 2030 AS start_year, 2031 AS end_year) FROM seasons WHERE start_year = 1997
+),
+fx_teams AS (
+  SELECT * REPLACE (CASE WHEN id % 12 = 0 THEN 'DUP' ELSE abbreviation END AS abbreviation,
+                    CASE WHEN id = 5 THEN 1900 ELSE year_founded END AS year_founded) FROM teams
+),
+fx_players AS (
+  SELECT * FROM players UNION ALL SELECT * REPLACE (id + 10000000 AS id) FROM players WHERE is_active
+)"""
+
+#: cells that only the text form can hold: (table, column) -> SQL of the spoiled cell
+TEXT_FAULTS = {
+    ("teams", "full_name"): "CASE WHEN id % 7 = 3 THEN NULL ELSE full_name END",
+    ("players", "is_active"): "CASE WHEN id % 50 = 7 THEN 'yes' ELSE CAST(is_active AS VARCHAR) END",
+    ("player_game_stats", "steals"):
+        f"CASE {_n('game_id')} % 101 WHEN 51 THEN 'n/a' WHEN 52 THEN 'NaN' WHEN 53 THEN '1.5' "
+        "WHEN 54 THEN 'Infinity' WHEN 55 THEN NULL ELSE CAST(steals AS VARCHAR) END",
+}
+
+_ROSTER = f"""
+, fx_player_game_stats AS (
+  SELECT * REPLACE (CASE WHEN {_n('game_id')} % 2 = 1 AND team_id % 5 = 0 THEN team_id - 1 ELSE team_id END AS player_id)
+  FROM player_game_stats
+  QUALIFY row_number() OVER (PARTITION BY game_id, team_id ORDER BY player_id) = 1
+)"""
+
+
+def _shadowed(changes: str, names: tuple[str, ...], body: str) -> str:
+    """``body`` over the changed tables: an inner WITH gives them the clean tables' names."""
+    body = body.strip()
+    inner = ", ".join(f"{n} AS (SELECT * FROM fx_{n})" for n in names)
+    return f"{PREFIX}{changes}\nSELECT * FROM (WITH {inner}\n{body}\n) shadowed"
+
+
+def with_faults(body: str) -> str:
+    return _shadowed(_FAULTY, ("teams", "players", "games", "team_game_stats", "player_game_stats",
+                               "shot_attempts", "seasons"), body)
+
+
+def with_faulty_seasons(body: str) -> str:
+    return _shadowed(_FAULTY, ("seasons",), body)
+
+
+def with_roster(body: str) -> str:
+    return _shadowed(_ROSTER, ("player_game_stats",), body)
