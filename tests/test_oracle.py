@@ -15,7 +15,7 @@ from scripts.oracle_check import TABLES, rows_of
 from statlake.plans.catalog import all_queries
 
 SF = "/root/testdata/sf0.001"
-SLICE = ["S4_shot_attempts", "Q5", "Q9", "Q18", "Q19", "Q28", "Q29", "Q10", "V15", "X", "D24", "G4", "T3", "K7", "R2", "R5"]
+SLICE = ["S4_shot_attempts", "Q5", "Q9", "Q18", "Q19", "Q28", "Q29", "Q10", "V15", "X", "D24", "M6", "G4", "T3", "K7", "R2", "R5"]
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
 
