@@ -7,6 +7,11 @@ with one minimizer travel together as one segment, so a text costs about 3.7
 times its bytes before compression, whatever the data. In a bucket the
 suffixes of the segments that share a minimizer are sorted to ``length``
 bytes; equal ones are ordered by document.
+
+A minimizer with very many different segments (the edges of a passage that
+very many documents have, each between other bytes) would be one task's work.
+Such minimizers are counted first; their windows are dealt one by one, by a
+hash of their own bytes, so that equal windows still meet.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ BUCKETS_PER_PARTITION, LEVEL = 4, 6
 #: minimizer's hash (two that agree share a group: more to sort, the same result); then its place in the bucket's bytes.
 _SEGMENT = np.dtype([("doc", "<u4"), ("pos", "<i8"), ("run", "u1"), ("low", "<u4")])
 _PLACED = np.dtype([*_SEGMENT.descr, ("at", "<i8")])
+#: Different segments from which a minimizer's windows are dealt one by one, different segments in one block of text from
+#: which a minimizer is counted at all, and minimizers in the list. They only say where windows meet; the result is the same.
+HOT_SEGMENTS, LOCAL_SEGMENTS, HOT_MINIMIZERS = 1 << 15, 4, 100_000
+_NONE = np.empty(0, np.uint64)
 _SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
 _SPAN_OF = np.dtype([("doc", "<u4"), ("start", "<i8"), ("end", "<i8")])
 
@@ -103,15 +112,41 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]
     return np.stack([np.cumsum(ids), keys], axis=1), segments, (doc.astype(np.int64), start, end), data[at:]
 
 
-def _runs(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one minimizer, inside the pieces: (first window, windows, minimizer hash)."""
+def _whole_hashes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of all ``length`` bytes at each of the places ``at``."""
+    word = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
+    h = np.full(len(at), length, np.uint64)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ word[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _listed(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted list."""
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
+def _runs(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int,
+          hot: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one key, inside the pieces: (first window, windows, key, whether the key is hot).
+
+    The key is the minimizer's hash; for a minimizer in ``hot`` it is the hash of the whole window.
+    """
     least = window_hashes(text, length)
+    split = _listed(least, hot)
+    if split.any():
+        least = least.copy()
+        least[split] = _whole_hashes(text, np.flatnonzero(split), length)
     whole = np.zeros(len(least) + 1, np.int64)
     whole[base] += 1
     ends = base + sizes - length + 1
     np.add.at(whole, ends[ends <= len(least)], -1)
     inside = np.cumsum(whole)[:-1] > 0
-    new = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]
+    new = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]) | (split[1:] != split[:-1])]
     new[base] = True
     first = np.flatnonzero(new)
     run = np.diff(np.r_[first, len(least)])
@@ -120,14 +155,74 @@ def _runs(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int) ->
         parts = -(-run // MAX_RUN)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, run = np.repeat(first, parts) + nth * MAX_RUN, np.minimum(np.repeat(run, parts) - nth * MAX_RUN, MAX_RUN)
-    return first, run, least[first]
+    return first, run, least[first], split[first]
+
+
+def _different(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimizer hashes with LOCAL_SEGMENTS or more different segments in these pieces, and how many they have.
+
+    Segments are told apart by their windows and first and last eight bytes.
+    """
+    keys, at = [], 0
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    base = np.cumsum(sizes) - sizes
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    while at < len(pieces):
+        to = max(at + 1, int(np.searchsorted(base, base[at] + HASH_BYTES)))
+        part = text[base[at]: base[to - 1] + sizes[to - 1]]
+        first, run, low, _ = _runs(part, base[at:to] - base[at], sizes[at:to], length)
+        word = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,))
+        sign = (word[first] * np.uint64(0x9E3779B97F4A7C15)) ^ word[first + run + length - 9]
+        keys.append(np.stack([low, sign * np.uint64(0xBF58476D1CE4E5B9) + run.astype(np.uint64)]))
+        at = to
+    low, sign = np.concatenate(keys, axis=1)
+    order = np.lexsort((sign, low))
+    low, sign = low[order], sign[order]
+    low = low[np.r_[True, (low[1:] != low[:-1]) | (sign[1:] != sign[:-1])]]
+    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    count = np.diff(np.r_[first, len(low)])
+    many = count >= LOCAL_SEGMENTS
+    return low[first][many], count[many]
+
+
+def hot_minimizers(docs: DataFrame, length: int = LENGTH, segments: int = HOT_SEGMENTS) -> np.ndarray:
+    """Sorted hashes of the minimizers with ``segments`` or more different segments in ``text`` (equal ones count once a block).
+
+    At most the HOT_MINIMIZERS largest. A minimizer with under LOCAL_SEGMENTS
+    in every block of BLOCK_BYTES is not found, however many blocks there are.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(held: list[bytes]) -> pa.RecordBatch:
+            low, n = _different(held, length)
+            return pa.record_batch([pa.array(low.view(np.int64)), pa.array(n.astype(np.int64))], names=["low", "n"])
+
+        held, size = [], 0
+        for batch in sliced(batches, 64):
+            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            for _, _, _, piece in _pieces([0] * len(texts), [0] * len(texts), texts, length):
+                held.append(piece)
+                size += len(piece)
+                if size >= BLOCK_BYTES:
+                    yield counted(held)
+                    held, size = [], 0
+                    release_memory()
+        if held:
+            yield counted(held)
+            del held
+            release_memory()
+
+    found = (docs.select("text").mapInArrow(count, "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
+             .where(F.col("n") >= segments).orderBy(F.desc("n"), "low").limit(HOT_MINIMIZERS))
+    return np.sort(np.array([r["low"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int) -> tuple[list[int], list[bytes]]:
+def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int,
+          hot: np.ndarray = _NONE) -> tuple[list[int], list[bytes]]:
     """The segments of some pieces as one blob for each bucket.
 
     A segment that a smaller document of these pieces has too is decided
     here (a passage that very many documents share leaves a task once).
+    Windows of the minimizers in ``hot`` are segments of their own.
     """
     pieces = sorted(pieces, key=lambda p: (p[0], p[1], p[2]))
     docs = np.array([(p[0], p[1]) for p in pieces], "<i8").reshape(-1, 2)
@@ -139,10 +234,10 @@ def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int)
     while at < len(pieces):  # hash some pieces at once
         to = max(at + 1, int(np.searchsorted(base, base[at] + HASH_BYTES)))
         lo, hi = int(base[at]), int(base[to - 1] + sizes[to - 1])
-        first, run, low = _runs(text[lo:hi], base[at:to] - lo, sizes[at:to], length)
-        found.append((first + lo, run, low))
+        first, run, low, split = _runs(text[lo:hi], base[at:to] - lo, sizes[at:to], length, hot)
+        found.append((first + lo, run, low, split))
         at = to
-    first, run, low = (np.concatenate([f[i] for f in found]) for i in range(3))
+    first, run, low, split = (np.concatenate([f[i] for f in found]) for i in range(4))
     piece = np.searchsorted(base, first, side="right") - 1
     segments = np.empty(len(first), _SEGMENT)
     segments["doc"], segments["run"], segments["low"] = piece, run, low & np.uint64(0xFFFFFF)
@@ -163,6 +258,14 @@ def _deal(pieces: list[tuple[int, int, int, bytes]], length: int, buckets: int)
         s = segments[decided]
         gone["doc"], gone["start"], gone["end"] = s["doc"], s["pos"], s["pos"] + s["run"] + length - 1
     gone_bucket = bucket[decided] if decided else np.empty(0, np.int64)
+    single = split[decided] if decided else np.empty(0, bool)
+    if single.any():  # neighbouring windows make one span, which goes to any bucket: by document
+        doc, start, end = _merged(*(gone[single][c].astype(np.int64) for c in ("doc", "start", "end")))
+        joined = np.empty(len(doc), _SPAN_OF)
+        joined["doc"], joined["start"], joined["end"] = doc, start, end
+        by_doc = ((docs[doc, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+        gone = np.concatenate([gone[~single], joined])
+        gone_bucket = np.concatenate([gone_bucket[~single], by_doc.astype(gone_bucket.dtype)])
     kept = np.flatnonzero(keep)
     kept = kept[np.argsort(bucket[kept], kind="stable")]
     gone_order = np.argsort(gone_bucket, kind="stable")
@@ -255,20 +358,22 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[new], start[new], reach[last]
 
 
-def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def duplicate_spans(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(id, text_key, spans): bytes of each text covered by a ``length``-byte string that also starts in a smaller doc_id.
 
     ``spans``: binary (start, end) pairs, possibly several rows a document and
     overlapping. Only texts with such bytes return. ``docs``: id, text_key, text.
+    ``hot_segments``: see HOT_SEGMENTS; any value gives the same bytes.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_minimizers(docs, length, hot_segments)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blobs(held: list) -> Iterator[pa.RecordBatch]:
-            bucket, blob = _deal(held, length, buckets)
+            bucket, blob = _deal(held, length, buckets, hot)
             for at in range(0, len(bucket), 32):
                 yield pa.record_batch([pa.array(bucket[at: at + 32], pa.int32()), pa.array(blob[at: at + 32], pa.binary())],
                                       names=["bucket", "blob"])

@@ -133,6 +133,44 @@ def test_suffix_dedup_is_exact(docs_of, seed, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(brute_dedup(rows), key=repr)
 
 
+def shared_passage(n):
+    """``n`` documents with one passage between texts of their own."""
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    passage = word(400)
+    return [(i, word(120) + passage + word(120)) for i in range(n)] + [(n, "-=" * 300), (n + 1, word(9) + "-=" * 200), (n + 1, "z" * 300)]
+
+
+def largest_group(rows, hot):
+    """Most different segments that one group of a bucket gets."""
+    bucket, blob = suffix_dedup._deal([(i, 0, 0, t.encode()) for i, t in rows], 50, 16, hot)
+    count = {}
+    for b, x in zip(bucket, blob):
+        _, segments, _, _ = suffix_dedup._unpack(x)
+        for low in segments["low"].tolist():
+            count[b, low] = count.get((b, low), 0) + 1
+    return max(count.values())
+
+
+def test_a_shared_passage_does_not_make_one_large_group(docs_of):
+    rows = [r for r in shared_passage(400) if r[0] < 400]
+    hot = suffix_dedup.hot_minimizers(docs_of(rows), 50, 100)
+    assert 1 <= len(hot) <= 4
+    assert largest_group(rows, suffix_dedup._NONE) > 300 and largest_group(rows, hot) < 100
+    assert len(suffix_dedup.hot_minimizers(docs_of(rows))) == 0 == len(suffix_dedup.hot_minimizers(docs_of([]), 50, 1))
+
+
+@pytest.mark.parametrize("block", [1500, 12 << 20])
+def test_windows_of_hot_minimizers_are_decided_alike(docs_of, block, monkeypatch):
+    rows = shared_passage(40)
+    every = np.unique(np.concatenate([suffix_dedup.window_hashes(np.frombuffer(t.encode(), np.uint8), 50) for _, t in rows]))
+    want = sorted(brute_dedup(rows))
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    for hot in (every, every[::2]):
+        monkeypatch.setattr(suffix_dedup, "hot_minimizers", lambda *_, hot=hot: hot)
+        assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs_of(rows)).collect())) == want
+
+
 def test_suffix_dedup_of_odd_and_empty_tables(docs_of):
     got = suffix_dedup.suffix_dedup(docs_of(ODD)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(brute_dedup([r[:2] for r in ODD]), key=repr)
