@@ -2,9 +2,10 @@
 
 ``seed_faults`` changes the clean star schema at fixed residues of the game number
 (modulo ``STRIDE``), one fault per residue, and the seasons by start year.
-``seed_text_faults`` spoils single cells of the text form. ``core_roster`` gives
-each team one regular player, so that the leaders' games threshold is met.
-``testviews_sql`` writes the same changes as SQL; the two must stay in step.
+``seed_text_faults`` spoils single cells of the text form. ``core_roster`` adds
+one regular player to each team, so that the leaders' games threshold is met.
+``testviews_sql`` writes the same changes as SQL; the two must stay in step, but
+for the roster, which has the regulars only there (no other player is eligible).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from statlake.sources.tables import Tables
 
 STRIDE = 101
 WRONG_SEASON = "1900-01"
+#: Teams (ids from 1), and what is added to the ids of players that the regulars take.
+TEAMS, MOVED = 25, 20_000_000
 
 
 def _residue(game_id: str) -> Column:
@@ -138,12 +141,19 @@ def seed_text_faults(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def core_roster(t: Tables) -> Tables:
-    """One player row per (game, team), that of the smallest player id, given to the team's regular:
-    player id = team id; teams divisible by 5 lend theirs to the team before in odd games (a traded player)."""
+    """Every player row, and one more per (game, team): the team's regular, with the statistics of the smallest player id.
+
+    Regular's player id = team id; teams divisible by 5 lend theirs to the team before in odd games (a traded
+    player). The players who have these ids otherwise are moved by ``MOVED``, rows and shots with them."""
     cols = t.player_game_stats.columns
     first = t.player_game_stats.groupBy("game_id", "team_id").agg(
         F.min_by(F.struct(*cols), F.col("player_id")).alias("row")).select("row.*")
     odd = F.pmod(F.substring("game_id", 4, 7).cast("int"), F.lit(2)) == 1
     lent = odd & (F.pmod("team_id", F.lit(5)) == 0)
-    return replace(t, player_game_stats=first.withColumn(
-        "player_id", F.when(lent, F.col("team_id") - 1).otherwise(F.col("team_id"))).select(*cols))
+    regulars = first.withColumn(
+        "player_id", F.when(lent, F.col("team_id") - 1).otherwise(F.col("team_id"))).select(*cols)
+    taken = F.col("player_id") <= TEAMS
+    others = _set(t.player_game_stats, taken, player_id=F.col("player_id") + MOVED)
+    moved = t.players.where(F.col("id") <= TEAMS).withColumn("id", F.col("id") + MOVED)
+    return replace(t, players=t.players.unionByName(moved), player_game_stats=others.unionByName(regulars),
+                   shot_attempts=_set(t.shot_attempts, taken, player_id=F.col("player_id") + MOVED))

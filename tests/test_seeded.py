@@ -56,3 +56,16 @@ def test_core_roster_has_leaders(tables):
     top = season.leaders(core_roster(tables))
     assert top.where("games_played < minimum_games").isEmpty()
     assert top.select("stat").distinct().count() == len(season.STAT_CATEGORIES)
+
+
+def test_core_roster_adds_regulars_and_keeps_every_player_row(tables):
+    before, after = tables.player_game_stats, core_roster(tables)
+    rows, sides = before.count(), before.select("game_id", "team_id").distinct().count()
+    assert after.player_game_stats.count() == rows + sides
+    same = [c for c in before.columns if c != "player_id"]
+    assert before.select(same).exceptAll(after.player_game_stats.select(same)).isEmpty()
+    assert after.player_game_stats.join(after.players.withColumnRenamed("id", "player_id"), "player_id", "left_anti").isEmpty()
+    games = after.player_game_stats.groupBy("player_id").count()
+    assert games.count() == before.select("player_id").distinct().count() + before.select("team_id").distinct().count()
+    assert after.players.count() == after.players.select("id").distinct().count()
+    assert season.leaders(after).where("player_id > 25").isEmpty() and not season.leaders(after).isEmpty()
