@@ -24,8 +24,13 @@ _FEATURES = ("f_len", "f_word", "f_symbol", "f_dup", "f_repeat")
 #: logarithm of the repeated lines, share of repeated words): most texts have no symbol and no repeated line or window at
 #: all, so the plain variance is near zero there, and one repeated line or some symbols would count as an outlier.
 FLOORS = (0.10, 0.0025, 0.0025, 0.25, 0.01)
-#: Share of a group's rows that the estimate rests on, and concentration steps (fixed for every size).
-SUPPORT, STEPS = 0.75, 4
+#: Share of a group's rows that the estimate rests on; most concentration steps, and the fall of the logarithm of every
+#: determinant under which they have settled.
+SUPPORT, STEPS, SETTLED = 0.5, 12, 1e-3
+#: Last, the rows within this squared distance (chi-square quantile at 0.975) are estimated from once more.
+REWEIGHT, REWEIGHT_SHARE = 12.83, 0.975
+#: Bins a square root of a feature's floor, for medians.
+_BINS_PER_FLOOR = 32
 #: Greatest squared Mahalanobis distance kept: the chi-square quantile (5 degrees of freedom) at 1 - 1e-6.
 CUTOFF = 37.33
 #: Fewer rows than this: the estimate of the language is used, then that of all rows.
@@ -96,31 +101,99 @@ def _estimate(rows: DataFrame, weight: str) -> DataFrame:
     sums = [F.sum(w).alias("m")]
     sums += [F.sum(w * F.col(a)).alias(f"s_{a}") for a in _FEATURES]
     sums += [F.sum(w * F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(_FEATURES) for b in _FEATURES[i:]]
-    return rows.groupBy("grp").agg(*sums)
+    return rows.groupBy("grp", "start").agg(*sums)
 
 
 def _inverse(sums: DataFrame, scale: float) -> DataFrame:
-    """(grp, mean, inverse of the floored scatter) from group sums; one small matrix per group."""
-    k = len(_FEATURES)
-
+    """(grp, start, mean, inverse of the floored scatter, logarithm of its determinant) from sums; one small matrix per group and start."""
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means, inverses = [], []
+            means, inverses, dets = [], [], []
             for r in batch.to_pylist():
-                m = max(r["m"], 1.0)
-                mean = np.array([r[f"s_{a}"] / m for a in _FEATURES])
-                cov = np.zeros((k, k))
-                for i, a in enumerate(_FEATURES):
-                    for j in range(i, k):
-                        cov[i, j] = cov[j, i] = r[f"p_{a}_{_FEATURES[j]}"] / m - mean[i] * mean[j]
-                inv = np.linalg.inv(scale * cov + np.diag(FLOORS))
+                mean, cov = _moments(r)
+                cov = scale * cov + np.diag(FLOORS)
                 means.append(mean.tolist())
-                inverses.append(inv.ravel().tolist())
-            yield pa.record_batch([batch.column("grp"), pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))],
-                                  names=["grp", "mean", "inv"])
+                inverses.append(np.linalg.inv(cov).ravel().tolist())
+                dets.append(float(np.linalg.slogdet(cov)[1]))
+            yield _estimates(batch.column("grp"), batch.column("start"), means, inverses, dets)
+
+    return sums.mapInArrow(invert, _ESTIMATE.format(dict(sums.dtypes)["grp"]))
+
+
+_ESTIMATE = "grp {}, start int, mean array<double>, inv array<double>, logdet double"
+
 
-    grp = dict(sums.dtypes)["grp"]
-    return sums.mapInArrow(invert, f"grp {grp}, mean array<double>, inv array<double>")
+def _estimates(grp: pa.Array, start: pa.Array, means: list, inverses: list, dets: list) -> pa.RecordBatch:
+    return pa.record_batch([grp, start, pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64())),
+                            pa.array(dets, pa.float64())], names=["grp", "start", "mean", "inv", "logdet"])
+
+
+def _moments(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from one row of :func:`_estimate`."""
+    k, m = len(_FEATURES), max(r["m"], 1.0)
+    mean = np.array([r[f"s_{a}"] / m for a in _FEATURES])
+    cov = np.zeros((k, k))
+    for i, a in enumerate(_FEATURES):
+        for j in range(i, k):
+            cov[i, j] = cov[j, i] = r[f"p_{a}_{_FEATURES[j]}"] / m - mean[i] * mean[j]
+    return mean, cov
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """(grp, med, dev): each feature's median and floored scale (median absolute deviation) per group, from counts of bins."""
+    width = [f ** 0.5 / _BINS_PER_FLOOR for f in FLOORS]
+    bins = [F.floor(F.col(a) / w).cast("long") for a, w in zip(_FEATURES, width)]
+    counts = materialize(rows.select("grp", F.posexplode(F.array(*bins)).alias("pos", "bin"))
+                         .groupBy("grp", "pos", "bin").agg(F.count(F.lit(1)).alias("c")), "mcd-bins")
+
+    def middle(table: DataFrame, value: str) -> DataFrame:
+        each = W.partitionBy("grp", "pos")
+        return (table.withColumn("upto", F.sum("c").over(each.orderBy(value))).withColumn("n", F.sum("c").over(each))
+                .where(2 * F.col("upto") >= F.col("n")).groupBy("grp", "pos").agg(F.min(value).alias("middle")))
+
+    med = middle(counts, "bin")
+    away = counts.join(med, ["grp", "pos"]).withColumn("away", F.abs(F.col("bin") - F.col("middle")))
+    dev = middle(away.groupBy("grp", "pos", "away").agg(F.sum("c").alias("c")), "away").withColumnRenamed("middle", "dev")
+    both = med.join(dev, ["grp", "pos"])
+    per = [F.max(F.when(F.col("pos") == i, F.struct("middle", "dev"))) for i in range(len(_FEATURES))]
+    found = both.groupBy("grp").agg(*[p.alias(f"x{i}") for i, p in enumerate(per)])
+    return materialize(found.select(
+        "grp", F.array(*[(F.col(f"x{i}.middle") + 0.5) * w for i, w in enumerate(width)]).alias("med"),
+        F.array(*[F.sqrt(F.pow(1.4826 * w * F.col(f"x{i}.dev"), 2) + f) for i, (w, f) in enumerate(zip(width, FLOORS))]).alias("dev")),
+        "mcd-medians")
+
+
+def _robust_starts(salted: DataFrame) -> DataFrame:
+    """Estimates around the medians: 1 the scales alone, 2 with the correlation of tanh, 3 with that of spatial signs."""
+    k, medians = len(_FEATURES), _medians(salted)
+    z = [f"z{i}" for i in range(k)]
+    rows = _beside(salted, medians).withColumns(
+        {z[i]: (F.col(a) - F.col("med")[i]) / F.col("dev")[i] for i, a in enumerate(_FEATURES)})
+    norm = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0]))), F.lit(1e-12))
+    kinds = [(1, lambda c: c), (2, F.tanh), (3, lambda c: c / norm)]
+    shapes = rows.select("grp", "one", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("start"), *[f(F.col(c)).alias(a) for c, a in zip(z, _FEATURES)]) for s, f in kinds])))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means, inverses, dets = [], [], []
+            for r in batch.to_pylist():
+                mean, cov = _moments(r)
+                if r["start"] == 3:
+                    cov = cov + np.outer(mean, mean)  # signs are taken around the medians
+                spread = np.sqrt(np.maximum(np.diag(cov), 0))
+                shape = np.eye(k)
+                if r["start"] > 1:
+                    held = spread > 1e-9
+                    shape[np.ix_(held, held)] = cov[np.ix_(held, held)] / np.outer(spread[held], spread[held])
+                cov = (shape + 1e-6 * np.eye(k)) * np.outer(r["dev"], r["dev"])
+                means.append(r["med"])
+                inverses.append(np.linalg.inv(cov).ravel().tolist())
+                dets.append(float(np.linalg.slogdet(cov)[1]))
+            yield _estimates(batch.column("grp"), batch.column("start"), means, inverses, dets)
+
+    sums = _estimate(shapes, "one").join(medians, "grp")
+    return sums.mapInArrow(starts, _ESTIMATE.format(dict(sums.dtypes)["grp"]))
 
 
 def _distance() -> Column:
@@ -143,23 +216,33 @@ def minimum_covariance_determinant(rows: DataFrame, steps: int = STEPS, support:
     ``support`` of the group) and re-estimates from them. The nearest rows
     come from per-group counts of logarithmic distance bins, so no group is
     sorted or gathered: a step is two partial aggregates however large a group
-    is. The start is the estimate of all rows, as for a deterministic MCD.
+    is. As for a deterministic MCD there are several starts (all rows, and
+    three around the medians); each is stepped until it settles, and the one
+    of the least determinant is kept. Last, the rows near it are estimated
+    from once more.
     """
     salted = rows.withColumn("one", F.lit(1.0)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    estimate = materialize(_inverse(_estimate(salted, "one"), 1.0), "mcd")
+    every = _inverse(_estimate(salted.withColumn("start", F.lit(0)), "one"), 1.0)
+    estimate = materialize(every.unionByName(_robust_starts(salted)), "mcd")
     consistency = _consistency(support)
-    for _ in range(steps):
+    for step in range(steps):
         binned = _beside(salted, estimate).withColumn("bin", _bin(_distance()))
-        upto = W.partitionBy("grp").orderBy("bin")
-        cut = (binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
-               .withColumn("before", F.sum("c").over(upto) - F.col("c"))
-               .withColumn("n", F.sum("c").over(W.partitionBy("grp")))
+        each = W.partitionBy("grp", "start")
+        cut = (binned.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
+               .withColumn("before", F.sum("c").over(each.orderBy("bin")) - F.col("c"))
+               .withColumn("n", F.sum("c").over(each))
                .where(F.col("before") < support * F.col("n"))
-               .groupBy("grp").agg(F.max("bin").alias("last")))
-        near = _beside(salted, estimate.join(cut, "grp")).withColumn(
+               .groupBy("grp", "start").agg(F.max("bin").alias("last")))
+        near = _beside(salted, estimate.join(cut, ["grp", "start"])).withColumn(
             "one", F.when(_bin(_distance()) <= F.col("last"), 1.0).otherwise(0.0))
-        estimate = materialize(_inverse(_estimate(near, "one"), consistency), "mcd")
-    return estimate
+        last, estimate = estimate, materialize(_inverse(_estimate(near, "one"), consistency), "mcd")
+        # the starts' own determinants are of another scale
+        if step and estimate.join(last.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).where(
+                F.col("was") - F.col("logdet") > SETTLED).isEmpty():
+            break
+    best = estimate.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inv"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    near = _beside(salted, materialize(best, "mcd-best")).withColumn("one", F.when(_distance() <= REWEIGHT, 1.0).otherwise(0.0))
+    return materialize(_inverse(_estimate(near, "one"), _consistency(REWEIGHT_SHARE)).select("grp", "mean", "inv"), "mcd")
 
 
 def _beside(salted: DataFrame, per_group: DataFrame) -> DataFrame:

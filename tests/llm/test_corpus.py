@@ -53,6 +53,16 @@ def test_quality_rules(spark, docs_of):
     assert quality.quality_rules(docs_of([])).count() == 0 and quality.keep_good(docs_of([])).count() == 0
 
 
+def test_quality_rules_find_outliers_that_are_alike(docs_of):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda: [rng.choice(vocabulary) for _ in range(rng.randint(40, 400))]
+    clean = [(i, " ".join(text())) for i in range(700)]
+    junk = [(1000 + i, " ".join(w + "%" * (j % 2) for j, w in enumerate(text()))) for i in range(300)]  # 0.5 symbols a word
+    rows = {r.doc_id: r.kept for r in quality.quality_rules(docs_of(clean + junk)).collect()}
+    assert not any(rows[i] for i, _ in junk) and sum(rows[i] for i, _ in clean) >= 698
+
+
 def test_mixing(docs_of):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 30), "en", rng.choice("aaaaaaaaabbc")) for i in range(1500)]
