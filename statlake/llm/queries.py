@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statlake.llm import chat, url_filter, warc
+from statlake.llm import chat, collocations, url_filter, warc
 from statlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,22 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_search(docs, stated_queries(docs))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statlake.llm.repair import damaged, repair_digests
+
+    return repair_digests(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statlake.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,8 +97,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash, op2_mixing, op3_packing, op4_quality_classifier, op5_suffix_dedup, op6_chat_format, op7_url_filter,
-    op8_quality_rules, op9_warc, op10_bm25_search, pipeline)}
+    op8_quality_rules, op9_warc, op10_bm25_search, op11_collocations, op12_conversation_repair, op13_embedding_dedup, pipeline)}
 
 #: DuckDB text of the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {"op6_chat_format": chat.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL,
-                          "op9_warc": warc.ORACLE_SQL}
+                          "op9_warc": warc.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
