@@ -9,9 +9,9 @@ compressed blob per partition; the partition's runs are merged and summed.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,84 +25,139 @@ from statlake.llm.common import binary_column, materialize, release_memory, slic
 
 #: A phrase counts from this frequency on; a longer candidate with this percentage of its frequency drops it; rows per language.
 MIN_COUNT, COVERED_PERCENT, TOP = 10, 50, 2000
+#: Shares of a language's phrases that are ranked apart first.
+SHARES = 16
 #: Entries of a task's trie and words of its dictionary before it spills, and entries of a container before it bursts.
-MAX_ENTRIES, MAX_WORDS, BURST = 800_000, 400_000, 4096
-#: Words of a piece that are counted before the bound on entries is looked at again.
-SLICE = 65_536
+MAX_ENTRIES, MAX_WORDS, BURST = 800_000, 500_000, 16_384
 #: Text of a prefix partition, about, and the partitions over which one two-word prefix is spread.
 PARTITION_BYTES, SPREAD = 24 << 20, 16
-_BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
+#: Bytes of a text that are cut into words at once, and words that are counted at once.
+SLICE_BYTES, COUNT_WORDS = 1 << 20, 1 << 18
+#: Piece borders (fixed: ``.,;:!?`` and the ASCII line ends) become line feeds, tabs become spaces.
+_BORDERS = bytes.maketrans(b".,;:!?\x0B\x0C\x0D\x09", b"\n" * 9 + b" ")
 
 #: First, second and third word id (0: none) and count.
 Rows = list[np.ndarray]
+#: Bits of a word id in a packed phrase, and the shifts of its base-64 digits in the order in which the trie branches.
+_BITS = 21
+_DIGITS = tuple(word * _BITS + 6 * digit for word in (2, 1) for digit in range(4))
+
+
+class Words(dict):
+    """Word -> id from 1 on, in order of appearance. A line feed is 0 and an empty word -1."""
+
+    def __init__(self) -> None:
+        super().__init__({b"\n": 0, b"": -1})
+
+    def __missing__(self, word: bytes) -> int:
+        new = self[word] = len(self) - 1
+        return new
+
+
+def token_ids(text: bytes, words: Words) -> Iterator[np.ndarray]:
+    """Ids of a lower-cased text's words with 0 at every piece border, slice by slice."""
+    text = text.lower().translate(_BORDERS)
+    at = 0
+    while at < len(text):
+        to = len(text) if len(text) - at <= SLICE_BYTES else text.find(b" ", at + SLICE_BYTES)
+        to = len(text) if to < 0 else to
+        some = text[at:to].replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(words.__getitem__, some), np.int64, len(some))
+        yield ids[ids >= 0]
+        at = to
+
+
+def phrases(ids: np.ndarray) -> np.ndarray:
+    """Packed (word, next, next but one) of every word but the last two; 0 from a border on."""
+    first, second, third = ids[:-2], ids[1:-1], ids[2:]
+    packed = first << 2 * _BITS | second << _BITS | np.where(second > 0, third, 0)
+    return packed[first > 0]
 
 
 class HatTrie:
-    """Counts of word-id triples (0: no word) of one language: first word -> container, or once burst second word -> container.
+    """Counts of packed phrases: a shallow trie over the digits of their word ids, its leaves hash containers.
 
-    A container is a hash table from the remaining ids, packed in one number,
-    to a count. ``size`` counts entries.
+    A container that outgrows ``burst`` entries becomes a node with a
+    container for each value of the next digit: first the digits of the first
+    word's id (the lowest ahead, so that ids spread evenly), then the
+    second's.
     """
 
     def __init__(self, burst: int = BURST) -> None:
-        self.burst, self.size = burst, 0
-        self.roots: dict[int, dict[int, int]] = {}  # first id -> container of (second << 32 | third)
-        self.deep: dict[int, dict[int, dict[int, int]]] = {}  # burst roots: first id -> second id -> container of third
-
-    def add(self, ids: list[int], starts: int) -> None:
-        """Count the phrases that start at the first ``starts`` words of a piece: each word with the two words after it."""
-        roots, deep, new = self.roots, self.deep, 0
-        ids = [*ids, 0, 0]
-        for a, b, c in islice(zip(ids, ids[1:], ids[2:]), starts):
-            if a in deep:
-                box, key = deep[a].setdefault(b, {}), c
-            else:
-                box, key = roots.setdefault(a, {}), b << 32 | c
-            if key in box:
-                box[key] += 1
+        self.burst = burst
+        self.children: list = [Counter() for _ in range(64)]
+
+    def add(self, packed: np.ndarray) -> None:
+        self._add(self.children, packed, 0)
+
+    def _add(self, children: list, packed: np.ndarray, depth: int) -> None:
+        digit = packed >> _DIGITS[depth] & 63
+        order = np.argsort(digit, kind="stable")
+        packed, cuts = packed[order], np.searchsorted(digit[order], np.arange(65))
+        for d in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            some, child = packed[cuts[d]: cuts[d + 1]], children[d]
+            if isinstance(child, list):
+                self._add(child, some, depth + 1)
                 continue
-            box[key] = 1
-            new += 1
-            if len(box) > self.burst and a in roots:
-                self._burst(a)
-        self.size += new
-
-    def _burst(self, a: int) -> None:
-        node: dict[int, dict[int, int]] = {}
-        for key, n in self.roots.pop(a).items():
-            node.setdefault(key >> 32, {})[key & 0xFFFFFFFF] = n
-        self.deep[a] = node
-
-    def subtrees(self) -> list[tuple[int, int]]:
-        """(entries, first id) of every subtree."""
-        return ([(len(box), a) for a, box in self.roots.items()]
-                + [(sum(map(len, node.values())), a) for a, node in self.deep.items()])
-
-    def take(self, firsts: list[int]) -> Rows:
-        """Remove whole subtrees; the total of each of their nodes, sorted."""
-        parts = []
-        for a in firsts:
-            boxes = [(None, self.roots.pop(a))] if a in self.roots else list(self.deep.pop(a).items())
-            for b, box in boxes:
-                keys = np.fromiter(box, np.int64, len(box))
-                second = keys >> 32 if b is None else np.full(len(box), b, np.int64)
-                parts.append((np.full(len(box), a, np.int64), second, keys & 0xFFFFFFFF, np.fromiter(box.values(), np.int64, len(box))))
-                self.size -= len(box)
-        first, second, third, count = (np.concatenate(x) for x in zip(*parts))
-        zero = np.zeros_like(first)
-        pairs, triples = second > 0, third > 0
-        return summed(np.concatenate([first, first[pairs], first[triples]]), np.concatenate([zero, second[pairs], second[triples]]),
-                      np.concatenate([zero, zero[pairs], third[triples]]), np.concatenate([count, count[pairs], count[triples]]))
-
-
-def summed(first: np.ndarray, second: np.ndarray, third: np.ndarray, count: np.ndarray) -> Rows:
-    """Sorted rows (first, second or 0, third or 0, count), equal phrases added up."""
-    order = np.lexsort((third, second, first))
-    rows = [x[order] for x in (first, second, third, count)]
+            child.update(some.tolist())
+            if len(child) > self.burst and depth + 1 < len(_DIGITS):
+                children[d] = self._burst(child, depth + 1)
+
+    def _burst(self, container: Counter, depth: int) -> list:
+        children: list = [Counter() for _ in range(64)]
+        shift = _DIGITS[depth]
+        for packed, n in container.items():
+            children[packed >> shift & 63][packed] = n
+        if depth + 1 < len(_DIGITS):
+            children = [self._burst(c, depth + 1) if len(c) > self.burst else c for c in children]
+        return children
+
+    def sizes(self) -> list[int]:
+        """Entries of each subtree under the root."""
+        return [sum(map(len, self._containers(c))) for c in self.children]
+
+    def _containers(self, child) -> list[Counter]:
+        return [child] if isinstance(child, Counter) else [x for c in child for x in self._containers(c)]
+
+    def take(self, subtrees: list[int]) -> Rows:
+        """Remove whole subtrees; the total of each phrase of one, two and three words in them, sorted by length and ids."""
+        boxes = [b for d in subtrees for b in self._containers(self.children[d]) if b]
+        for d in subtrees:
+            self.children[d] = Counter()
+        n = sum(map(len, boxes))
+        packed = np.fromiter(chain.from_iterable(boxes), np.int64, n)
+        count = np.fromiter(chain.from_iterable(b.values() for b in boxes), np.int64, n)
+        order = np.argsort(packed)
+        packed, count = packed[order], count[order]
+        out = []
+        for words in (1, 2, 3):
+            own = packed >> (3 - words) * _BITS << (3 - words) * _BITS
+            at = np.flatnonzero(np.diff(own, prepend=-1))
+            keys, total = own[at], np.add.reduceat(count, at) if n else count
+            whole = keys >> (3 - words) * _BITS & (1 << _BITS) - 1 > 0  # the last of the words is there
+            out.append((keys[whole], total[whole]))
+        keys, total = (np.concatenate(x) for x in zip(*out))
+        return [*_unpacked(keys), total]
+
+
+def _unpacked(packed: np.ndarray) -> Rows:
+    mask = (1 << _BITS) - 1
+    return [packed >> 2 * _BITS, packed >> _BITS & mask, packed & mask]
+
+
+def summed(pile: list[Rows], words: int) -> Rows:
+    """The rows of all runs, equal phrases added up; ids are up to ``words``."""
+    first, second, third, count = (np.concatenate(x) for x in zip(*pile))
+    if words < 1 << _BITS:
+        keys = [first << 2 * _BITS | second << _BITS | third]
+        order = np.argsort(keys[0])
+    else:
+        keys = [first, second, third]
+        order = np.lexsort((third, second, first))
     new = np.ones(len(order), bool)
-    new[1:] = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
+    new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
     at = np.flatnonzero(new)
-    return [*(x[at] for x in rows[:3]), np.add.reduceat(rows[3], at) if len(at) else rows[3]]
+    return [*(x[order[at]] for x in (first, second, third)), np.add.reduceat(count[order], at) if len(at) else count]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -145,34 +200,44 @@ def _unpack(blob: bytes) -> tuple[list[bytes], Rows]:
 def runs(docs: DataFrame, partitions: int, max_entries: int = MAX_ENTRIES, max_words: int = MAX_WORDS, burst: int = BURST) -> DataFrame:
     """(part, lang, blob): sorted runs of phrase counts, cut by prefix partition."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
+        words = Words()
         tries: dict[str, HatTrie] = {}
+        waiting: dict[str, list[np.ndarray]] = {}  # ids that are not counted yet; each document ends with two borders
+
+        def drain(lang: str) -> None:
+            """Count all that waits; the last two words may still be followed by others and go on waiting."""
+            ids = np.concatenate(waiting[lang])
+            for at in range(0, len(ids) - 2, COUNT_WORDS):
+                tries[lang].add(phrases(ids[at: at + COUNT_WORDS + 2]))
+            waiting[lang] = [ids[-2:]]
 
-        def spill(all_of_it: bool) -> Iterator[pa.RecordBatch]:
-            names = [b"", *ids]
+        def spill(everything: bool) -> Iterator[pa.RecordBatch]:
+            names = [b"", *islice(words, 2, None)]
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) | 1 if w else 0 for w in names), np.uint64, len(names))
-            sizes = sorted(((n, a, lang) for lang, t in tries.items() for n, a in t.subtrees()), reverse=True)
-            chosen: dict[str, list[int]] = {}
+            sizes = sorted(((n, d, lang) for lang, t in tries.items() for d, n in enumerate(t.sizes()) if n), reverse=True)
             left = sum(n for n, _, _ in sizes)
-            for n, a, lang in sizes:  # whole subtrees, the largest first, until half is free
-                if not all_of_it and left <= max_entries // 2:
+            chosen: dict[str, list[int]] = {}
+            for n, d, lang in sizes:  # whole subtrees, the largest first, until half is free
+                if not everything and left <= max_entries // 2:
                     break
-                chosen.setdefault(lang, []).append(a)
+                chosen.setdefault(lang, []).append(d)
                 left -= n
-            for lang, firsts in chosen.items():
-                rows = tries[lang].take(firsts)
-                h = [hashes[x] for x in rows[:3]]
-                part = _partition(xxhash.xxh64_intdigest(lang.encode()), *h, partitions).astype(np.int64)
+            for lang, subtrees in chosen.items():
+                rows = tries[lang].take(subtrees)
+                part = _partition(xxhash.xxh64_intdigest(lang.encode()), *(hashes[x] for x in rows[:3]), partitions).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 part, rows = part[order], [x[order] for x in rows]
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
                 out, size = [], 0
                 for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    used, inverse = np.unique(np.concatenate([x[lo:hi] for x in rows[:3]]), return_inverse=True)
-                    inverse = inverse.reshape(3, hi - lo)
-                    if used[0]:  # id 0 stays "no word"
-                        used, inverse = np.r_[0, used], inverse + 1
-                    blob = _pack([names[i] for i in used[1:].tolist()], [*inverse, rows[3][lo:hi]])
+                    here = [x[lo:hi] for x in rows]
+                    local = np.zeros(len(names), np.int64)  # id in the run's own dictionary
+                    for x in here[:3]:
+                        local[x] = 1
+                    local[0] = 0
+                    used = np.flatnonzero(local)
+                    local[used] = np.arange(1, len(used) + 1)
+                    blob = _pack([names[i] for i in used.tolist()], [*(local[x] for x in here[:3]), here[3]])
                     out.append((int(part[lo]), lang, blob))
                     size += len(blob)
                     if size > 4 << 20:
@@ -180,31 +245,41 @@ def runs(docs: DataFrame, partitions: int, max_entries: int = MAX_ENTRIES, max_w
                         out, size = [], 0
                 if out:
                     yield flush(out)
-            if all_of_it:
-                ids.clear()
+            if everything:
+                tails = {lang: [names[i] if i else b"\n" for i in ids[0].tolist()] for lang, ids in waiting.items()}
+                words.clear()
+                words.update(Words())
                 tries.clear()
+                for lang, tail in tails.items():
+                    tries[lang] = HatTrie(burst)
+                    waiting[lang] = [np.array([words[w] for w in tail], np.int64)]
             release_memory()
 
         def flush(out):
             part, lang, blob = zip(*out)
             return pa.record_batch([pa.array(part, pa.int64()), pa.array(lang, pa.string()), pa.array(blob, pa.binary())], names=["part", "lang", "blob"])
 
-        def entries() -> int:
-            return sum(t.size for t in tries.values())
+        def checked(lang: str) -> Iterator[pa.RecordBatch]:
+            """Count what waits in ``lang`` if it is much, and spill if there is too much to hold."""
+            full = len(words) > max_words
+            for name in [*waiting] if full else [lang]:
+                if full or sum(map(len, waiting[name])) >= min(COUNT_WORDS, max_entries):
+                    drain(name)
+                    if full or sum(sum(t.sizes()) for t in tries.values()) > max_entries:
+                        yield from spill(False)
+            if full:
+                yield from spill(True)
 
         for batch in sliced(batches, 64):
             for lang, text in zip(batch.column("lang").to_pylist(), binary_column(batch, "text")):
-                trie = tries.setdefault(lang, HatTrie(burst))
-                for piece in _BREAK.split(text.lower()):
-                    words = piece.split()
-                    for at in range(0, len(words), SLICE):  # with the two words after the slice
-                        trie.add([ids.setdefault(w, len(ids) + 1) for w in words[at: at + SLICE + 2]], SLICE)
-                        if trie.size > max_entries:
-                            yield from spill(False)
-                if len(ids) > max_words:
-                    yield from spill(True)
-                elif entries() > max_entries:
-                    yield from spill(False)
+                if lang not in tries:
+                    tries[lang], waiting[lang] = HatTrie(burst), [np.zeros(2, np.int64)]
+                for ids in token_ids(text, words):
+                    waiting[lang].append(ids)
+                    yield from checked(lang)
+                waiting[lang].append(np.zeros(2, np.int64))
+        for lang in waiting:
+            drain(lang)
         if tries:
             yield from spill(True)
 
@@ -220,7 +295,7 @@ def merged(spilled: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(lang, words, rows):
-            names = [b"", *words]
+            names = [b"", *islice(words, 2, None)]
             k = 1 + (rows[1] > 0) + (rows[2] > 0)
             yield out([lang], [0], [None], [int(rows[3][k == 1].sum())])
             frequent = np.flatnonzero(rows[3] >= min_count)
@@ -234,23 +309,25 @@ def merged(spilled: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
             return pa.record_batch([pa.array(lang, pa.string()), pa.array(k, pa.int64()), pa.array(phrase, pa.binary()), pa.array(f, pa.int64())],
                                    names=["lang", "k", "phrase", "f"])
 
-        now, words, pile, held, least = None, {}, [], 0, 0
+        now, words, pile, held, least = None, Words(), [], 0, 0
         for batch in batches:
             for part, lang, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "blob"))):
                 if (part, lang) != now:
                     if pile:
-                        yield from flush(now[1], words, summed(*(np.concatenate(x) for x in zip(*pile))))
-                    now, words, pile, held, least = (part, lang), {}, [], 0, 1 << 20
+                        yield from flush(now[1], words, summed(pile, len(words)))
+                        release_memory()
+                    now, words, pile, held, least = (part, lang), Words(), [], 0, 1 << 20
                 names, rows = _unpack(blob)
-                own = np.fromiter((0, *(words.setdefault(w, len(words) + 1) for w in names)), np.int64, len(names) + 1)
+                own = np.zeros(len(names) + 1, np.int64)
+                own[1:] = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
                 pile.append([*(own[x] for x in rows[:3]), rows[3]])
                 held += len(rows[3])
                 if held > 2 * least:
-                    pile = [summed(*(np.concatenate(x) for x in zip(*pile)))]
+                    pile = [summed(pile, len(words))]
                     held = len(pile[0][3])
                     least = max(least, held)
         if pile:
-            yield from flush(now[1], words, summed(*(np.concatenate(x) for x in zip(*pile))))
+            yield from flush(now[1], words, summed(pile, len(words)))
 
     return (spilled.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, k long, phrase binary, f long")
             .withColumn("phrase", F.col("phrase").cast("string")))
@@ -299,8 +376,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, covered_percent: i
     scored = cuts.withColumn("over", F.lit(1_000_000).cast("decimal(7,0)") * (big("a") * big("a"))).withColumn("under", big("l") * big("r"))
     scored = scored.withColumn("score", F.expr("over div under").cast("long"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("m"))
-    best = W.partitionBy("lang").orderBy(F.col("m.score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = lowest.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    # the best of each share of a language's phrases first: no task gets more than `top` rows of each share
+    order = [F.col("m.score").desc(), F.col("a").desc(), F.col("phrase")]
+    shared = lowest.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    best = shared.withColumn("rank", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "m.l", "m.r", "n", "m.score")
 
 
