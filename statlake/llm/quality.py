@@ -33,11 +33,12 @@ REWEIGHT, REWEIGHT_SHARE = 12.83, 0.975
 _BINS_PER_FLOOR = 32
 #: Greatest squared Mahalanobis distance kept: the chi-square quantile (5 degrees of freedom) at 1 - 1e-6.
 CUTOFF = 37.33
-#: Fewer rows than this: the estimate of the language is used, then that of all rows.
-MIN_GROUP = 200
+#: A group of n rows is judged by its own estimate with weight n / (n + SHRINK), the rest from its language's, which is
+#: drawn to that of all rows likewise.
+SHRINK = 50
 _BINS_PER_OCTAVE = 16
-#: Parts of a group that join its estimate apart.
-SALTS = 32
+#: Parts of a group that join its estimate apart, where estimates are too many to be sent to every task (about 400 bytes each).
+SALTS, SENT_ESTIMATES = 32, 20_000
 
 
 def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -163,11 +164,11 @@ def _medians(rows: DataFrame) -> DataFrame:
         "mcd-medians")
 
 
-def _robust_starts(salted: DataFrame) -> DataFrame:
+def _robust_starts(salted: DataFrame, send: bool) -> DataFrame:
     """Estimates around the medians: 1 the scales alone, 2 with the correlation of tanh, 3 with that of spatial signs."""
     k, medians = len(_FEATURES), _medians(salted)
     z = [f"z{i}" for i in range(k)]
-    rows = _beside(salted, medians).withColumns(
+    rows = _beside(salted, medians, send).withColumns(
         {z[i]: (F.col(a) - F.col("med")[i]) / F.col("dev")[i] for i, a in enumerate(_FEATURES)})
     norm = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0]))), F.lit(1e-12))
     kinds = [(1, lambda c: c), (2, F.tanh), (3, lambda c: c / norm)]
@@ -209,8 +210,8 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log2(distance + 1e-6) * _BINS_PER_OCTAVE).cast("long")
 
 
-def minimum_covariance_determinant(rows: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
-    """(grp, n, mean, inv) per group of (grp, features): concentration steps over all rows.
+def minimum_covariance_determinant(rows: DataFrame, groups: int, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
+    """(grp, mean, cov, steps) per group of (grp, features), of which there are ``groups``: concentration steps over all rows.
 
     Each step takes the rows nearest to the current estimate (at least
     ``support`` of the group) and re-estimates from them. The nearest rows
@@ -219,21 +220,23 @@ def minimum_covariance_determinant(rows: DataFrame, steps: int = STEPS, support:
     is. As for a deterministic MCD there are several starts (all rows, and
     three around the medians); each is stepped until it settles, and the one
     of the least determinant is kept. Last, the rows near it are estimated
-    from once more.
+    from once more. The scatter has the variance floors in it. A column says
+    how many steps were taken; ``steps`` of them end the search unsettled.
     """
+    send = groups * 4 <= SENT_ESTIMATES
     salted = rows.withColumn("one", F.lit(1.0)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     every = _inverse(_estimate(salted.withColumn("start", F.lit(0)), "one"), 1.0)
-    estimate = materialize(every.unionByName(_robust_starts(salted)), "mcd")
+    estimate = materialize(every.unionByName(_robust_starts(salted, send)), "mcd")
     consistency = _consistency(support)
     for step in range(steps):
-        binned = _beside(salted, estimate).withColumn("bin", _bin(_distance()))
+        binned = _beside(salted, estimate, send).withColumn("bin", _bin(_distance()))
         each = W.partitionBy("grp", "start")
         cut = (binned.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
                .withColumn("before", F.sum("c").over(each.orderBy("bin")) - F.col("c"))
                .withColumn("n", F.sum("c").over(each))
                .where(F.col("before") < support * F.col("n"))
                .groupBy("grp", "start").agg(F.max("bin").alias("last")))
-        near = _beside(salted, estimate.join(cut, ["grp", "start"])).withColumn(
+        near = _beside(salted, estimate.join(cut, ["grp", "start"]), send).withColumn(
             "one", F.when(_bin(_distance()) <= F.col("last"), 1.0).otherwise(0.0))
         last, estimate = estimate, materialize(_inverse(_estimate(near, "one"), consistency), "mcd")
         # the starts' own determinants are of another scale
@@ -241,12 +244,30 @@ def minimum_covariance_determinant(rows: DataFrame, steps: int = STEPS, support:
                 F.col("was") - F.col("logdet") > SETTLED).isEmpty():
             break
     best = estimate.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inv"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
-    near = _beside(salted, materialize(best, "mcd-best")).withColumn("one", F.when(_distance() <= REWEIGHT, 1.0).otherwise(0.0))
-    return materialize(_inverse(_estimate(near, "one"), _consistency(REWEIGHT_SHARE)).select("grp", "mean", "inv"), "mcd")
+    near = _beside(salted, materialize(best, "mcd-best"), send).withColumn("one", F.when(_distance() <= REWEIGHT, 1.0).otherwise(0.0))
+    sums = _estimate(near, "one").withColumn("steps", F.lit(step + 1 if steps else 0))
+    return materialize(_scatter(sums, _consistency(REWEIGHT_SHARE)), "mcd")
 
 
-def _beside(salted: DataFrame, per_group: DataFrame) -> DataFrame:
-    """Rows with their group's one-row figures. The figures are repeated per salt, so a large group's rows stay in several tasks."""
+def _scatter(sums: DataFrame, scale: float) -> DataFrame:
+    """(grp, mean, floored scatter, steps) from sums."""
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moments = [_moments(r) for r in batch.to_pylist()]
+            yield pa.record_batch([batch.column("grp"), pa.array([m.tolist() for m, _ in moments], pa.list_(pa.float64())),
+                                   pa.array([(scale * c + np.diag(FLOORS)).ravel().tolist() for _, c in moments], pa.list_(pa.float64())),
+                                   batch.column("steps")], names=["grp", "mean", "cov", "steps"])
+
+    return sums.mapInArrow(scatter, f"grp {dict(sums.dtypes)['grp']}, mean array<double>, cov array<double>, steps int")
+
+
+def _beside(salted: DataFrame, per_group: DataFrame, send: bool) -> DataFrame:
+    """Rows with their group's one-row figures (at most SENT_ESTIMATES rows if they are to be sent to every task).
+
+    Otherwise both are shuffled; the figures are repeated per salt, so a large group's rows stay in several tasks.
+    """
+    if send:
+        return salted.join(F.broadcast(per_group), "grp")
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     return salted.join(per_group.withColumn("salt", salts), ["grp", "salt"])
 
@@ -265,23 +286,46 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def fit_groups(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(g_lang, g_source, mean, inv): the robust estimate that each language and source of (lang, source, counts) is judged by."""
+def fit_groups(counts: DataFrame, shrink: float = SHRINK) -> DataFrame:
+    """(g_lang, g_source, mean, inv, own_weight): what each language and source of (lang, source, counts) is judged by.
+
+    Every group has its own robust estimate, whatever its size. It is drawn
+    to its language's, and this to that of all rows, by n / (n + shrink): few
+    rows say little about their scatter. own_weight is that share.
+    """
     passed = counts.where(~_failed()).select("lang", "source", *_features())
     # three levels of groups in one table: (lang, source), (lang), all; null languages and sources are groups of their own
     level = lambda *c: F.struct(*[F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("-")).alias(a)
                                   if x else F.lit("").alias(a) for a, x in zip(("lang", "source"), c)])
     own, lang, every = level("lang", "source"), level("lang", None), level(None, None)
     sized = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    sized = sized.select("lang", "source", "n", F.sum("n").over(W.partitionBy("lang")).alias("n_lang"))
-    choice = sized.select("lang", "source", F.when(F.col("n") >= min_group, own).when(F.col("n_lang") >= min_group, lang)
-                          .otherwise(every).alias("grp"))
-    choice = materialize(choice, "mcd-groups")
-    used = choice.select("grp").distinct()
+    sized = sized.select("lang", "source", "n", F.sum("n").over(W.partitionBy("lang")).alias("n_lang"), own.alias("own"), lang.alias("up"), every.alias("top"))
+    sized = materialize(sized, "mcd-groups")
+    groups = 2 * sized.count() + 1  # as many languages as groups, at most
     member = passed.select(*_FEATURES, F.explode(F.array(own, lang, every)).alias("grp"))
-    estimate = minimum_covariance_determinant(member.join(used, "grp", "left_semi").select("grp", *_FEATURES))
-    return materialize(choice.join(estimate, "grp").select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "mean", "inv").coalesce(4), "mcd-fitted")
+    estimate = minimum_covariance_determinant(member.select("grp", *_FEATURES), groups).drop("steps")
+    joined = sized
+    for name in ("own", "up", "top"):
+        joined = joined.join(estimate.select(F.col("grp").alias(name), F.col("mean").alias(f"mean_{name}"), F.col("cov").alias(f"cov_{name}")), name)
+
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(_FEATURES)
+        for batch in batches:
+            means, inverses, weights = [], [], []
+            for r in batch.to_pylist():
+                w, up = r["n"] / (r["n"] + shrink), r["n_lang"] / (r["n_lang"] + shrink)
+                mean, cov = (w * np.array(r[f"{x}_own"]) + (1 - w) * (up * np.array(r[f"{x}_up"]) + (1 - up) * np.array(r[f"{x}_top"]))
+                             for x in ("mean", "cov"))
+                means.append(mean.tolist())
+                inverses.append(np.linalg.inv(cov.reshape(k, k)).ravel().tolist())
+                weights.append(w)
+            yield pa.record_batch([batch.column("lang"), batch.column("source"), pa.array(means, pa.list_(pa.float64())),
+                                   pa.array(inverses, pa.list_(pa.float64())), pa.array(weights, pa.float64())],
+                                  names=["g_lang", "g_source", "mean", "inv", "own_weight"])
+
+    kinds = dict(counts.dtypes)
+    return materialize(joined.mapInArrow(blend, f"g_lang {kinds['lang']}, g_source {kinds['source']}, mean array<double>, inv array<double>, "
+                                                "own_weight double").coalesce(4), "mcd-fitted")
 
 
 def judge(rows: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -291,34 +335,35 @@ def judge(rows: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFra
     distance = F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance())
     return judged.withColumn("distance", distance).withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).drop(
-        "g_lang", "g_source", "mean", "inv", *_FEATURES)
+        "g_lang", "g_source", "mean", "inv", "own_weight", *_FEATURES)
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, shrink: float = SHRINK) -> DataFrame:
     """One row per document: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept).
 
     A text fails the base rules with under 20 words or with over 30 % of its
     words in 8-word windows that occur twice. The other texts' statistics
     (logarithms of the words and of the word length, symbols a word, logarithm
     of the repeated lines, share of repeated words) are judged by their
-    Mahalanobis distance from a robust estimate of their (language, source) group; groups
-    under ``min_group`` rows use their language's, then the whole table's.
+    Mahalanobis distance from a robust estimate of their (language, source)
+    group, drawn to its language's and the whole table's as if these had
+    ``shrink`` rows (:func:`fit_groups`).
     Null text: all counts 0, base_failed. Null language or source: a group of
     its own. Rows with equal ids are judged each; other columns are ignored;
     an empty table gives no rows.
     """
     counts = materialize(with_base_counts(docs, ["doc_id", "lang", "source"]), "quality-counts")
-    return judge(counts, fit_groups(counts, min_group), cutoff).select("doc_id", *_COUNTS, "base_failed", "distance", "kept")
+    return judge(counts, fit_groups(counts, shrink), cutoff).select("doc_id", *_COUNTS, "base_failed", "distance", "kept")
 
 
-def keep_good(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF, shrink: float = SHRINK) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, all columns as they are.
 
     The counts are taken again from the rows themselves and joined with the
     small table of estimates, so the texts are not shuffled and repeated or
     null doc_ids do not matter.
     """
-    fitted = fit_groups(materialize(with_base_counts(docs, ["lang", "source"]), "quality-counts"), min_group)
+    fitted = fit_groups(materialize(with_base_counts(docs, ["lang", "source"]), "quality-counts"), shrink)
 
     @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
     def counted(texts: pd.Series) -> pd.DataFrame:
