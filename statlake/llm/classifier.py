@@ -1,7 +1,8 @@
-"""Quality classifier: hashed word, word pair and character n-gram vectors averaged per document, softmax output, numpy SGD."""
+"""Quality classifier: hashed word, word pair and subword n-gram vectors averaged per document, softmax output, numpy SGD."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 
 from statlake.llm.common import sliced
 
-#: Character n-grams (bytes), buckets of each kind of feature, and the length of a vector.
+#: Subwords: byte n-grams of one word, with the white space before and behind it as its border marks; buckets of each kind
+#: of feature, and the length of a vector.
 GRAMS, BUCKET_BITS, DIMENSIONS = (2, 3, 4), 16, 8
 #: Labelled rows the model is fitted on, at most, of each class (those with the least hash of their id).
 MAX_TRAIN_PER_CLASS = 1500
-EPOCHS, RATE, SEED = 4, 0.5, 20
+EPOCHS, RATE, VECTOR_RATE, SEED = 4, 0.5, 20.0, 20
 #: Text whose features are held at once; a longer text is taken in parts that end at white space.
 CHUNK_BYTES = 1 << 19
 #: Kinds of features: the n-grams, words, word pairs.
@@ -53,10 +55,19 @@ def features(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     end = np.cumsum(size)
     start = end - size
     text = np.frombuffer(raw + bytes(8), np.uint8)
-    word = np.ndarray((len(raw),), "<u8", text, 0, (1,))
     with np.errstate(over="ignore"):
+        space = _SPACE[text[: len(raw)]]
+        marked = np.where(_SPACE[text], np.uint8(32), text)  # one border mark
+        word = np.ndarray((len(raw),), "<u8", marked, 0, (1,))
         for kind, n in enumerate(GRAMS):
-            yield _bucket(word & np.uint64((1 << 8 * n) - 1), kind), start, np.maximum(end - n + 1, start)
+            # windows with white space inside span two words, those of white space at both ends and no more say nothing
+            inside = np.zeros(len(raw), bool)
+            for i in range(1, n - 1):
+                inside[: len(raw) - i] |= space[i:]
+            if n == 2:
+                inside[:-1] |= space[:-1] & space[1:]
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(~inside)])
+            yield _bucket(word[~inside] & np.uint64((1 << 8 * n) - 1), kind), upto[start], upto[np.maximum(end - n + 1, start)]
         # whole words: differences of a running polynomial, scaled back to the word's own place
         solid = ~_SPACE[text[: len(raw)]]
         edge = np.zeros(len(raw) + 1, bool)
@@ -81,35 +92,42 @@ def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return bucket, (count / max(1, count.sum())).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
+def gradient(share: np.ndarray, vectors: np.ndarray, output: np.ndarray, bias: np.ndarray, y: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, and its gradient by vectors, output and bias) of one document: softmax over the mean of its feature vectors."""
+    mean = share @ vectors
+    z = output @ mean + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    loss = -math.log(max(float(p[y]), 1e-300))
+    p[y] -= 1
+    return loss, np.outer(share, p @ output), np.outer(p, mean), p
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> tuple[np.ndarray, float]:
     """(weight of each bucket, bias): the log-odds of label 1 are the bias and the mean weight of a document's features.
 
-    Vectors and output layer are learned by stochastic gradient descent; as
-    the document vector is a plain mean, vectors times output weights give
-    one number a bucket for scoring. Classes weigh alike.
+    Vectors and output layer are learned by plain stochastic gradient descent
+    from documents as (buckets, shares); as the document vector is a mean,
+    vectors times output weights give one number a bucket for scoring. Classes
+    weigh alike. A document's step is spread over thousands of vectors, so
+    these have a rate of their own.
     """
     rng = np.random.default_rng(SEED)
     rows = KINDS << BUCKET_BITS
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (rows, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    bags, y = [_bag(t) for t in texts], np.array(labels)
+    y = np.array(labels)
     weight = len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1))
     steps, done = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(bags)):
-            rate = np.float32(RATE * (1 - done / steps) * weight[y[i]])
+            rate = np.float32((1 - done / steps) * weight[y[i]])
             done += 1
             bucket, share = bags[i]
-            mean = share @ vectors[bucket]
-            z = output @ mean + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = p @ output
-            output -= rate * np.outer(p, mean)
-            bias -= rate * p
-            # the mean spreads a step thinly over thousands of features: each gets it by its share of the largest
-            vectors[bucket] -= rate * np.outer(share / share.max(), back)
+            _, by_vectors, by_output, by_bias = gradient(share, vectors[bucket], output, bias, y[i])
+            output -= rate * RATE * by_output
+            bias -= rate * RATE * by_bias
+            vectors[bucket] -= rate * VECTOR_RATE * by_vectors
     return (vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -150,6 +168,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = MAX_TRAIN_PER_CLASS) -> tuple[np.ndarray, float]:
     """The model, fitted in one task on at most ``per_class`` rows of each class that are not held out.
 
+    Texts become bags of buckets where they are read, so the fitting task
+    holds 8 bytes for each distinct feature of a document (at most 2.6 MB,
+    however long the text) and no text.
+
     Labels that are null or neither 0 nor 1 are left out; of several labels
     of a document the lowest counts. Without rows of both classes the model is
     neutral (every score 0.5).
@@ -162,14 +184,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     texts = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("id")).select(
         "id", F.col("text").cast("string").alias("text"), "y").dropDuplicates(["id"])
 
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 16):
+            bags = [_bag(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.record_batch([batch.column("id"), batch.column("y"), pa.array([b.tobytes() for b, _ in bags], pa.binary()),
+                                   pa.array([s.tobytes() for _, s in bags], pa.binary())], names=["id", "y", "bucket", "share"])
+
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t or b"", y) for b in batches
-                      for i, t, y in zip(b.column("id").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), b.column("y").to_pylist()))
-        if len({r[2] for r in rows}) == 2:
-            weight, bias = train([r[1] for r in rows], [r[2] for r in rows])
+        rows = [(i, y, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for batch in sliced(batches, 16)
+                for i, y, b, s in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "bucket", "share")))]
+        rows.sort(key=lambda r: r[0])
+        if len({r[1] for r in rows}) == 2:
+            weight, bias = train([r[2:] for r in rows], [r[1] for r in rows])
             yield pa.record_batch([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], names=["weight", "bias"])
 
-    model = texts.coalesce(1).mapInArrow(one, "weight binary, bias double").collect()  # one row of a fixed size
+    kind = dict(texts.dtypes)["id"]
+    bagged = texts.mapInArrow(bag, f"id {kind}, y int, bucket binary, share binary")
+    model = bagged.repartition(1).mapInArrow(one, "weight binary, bias double").collect()  # one row of a fixed size
     if not model:
         return np.zeros(KINDS << BUCKET_BITS, np.float32), 0.0
     return np.frombuffer(bytes(model[0]["weight"]), np.float32), model[0]["bias"]
