@@ -94,10 +94,11 @@ def format_conversations(rows: DataFrame, template: Template = TEMPLATE) -> Data
 
 
 def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """Turns and loss text recovered from the formatted text alone: (conv_id, turns array of (role, text), loss_text).
+    """Turns and loss text recovered from the output: (conv_id, turns array of (role, text), loss_text).
 
-    Only ``formatted`` and ``loss_spans`` are read: the text is split at the
-    template's marks, which no escaped text contains, and unescaped.
+    The turns come from ``formatted`` alone, which is split at the template's
+    marks (no escaped text contains them) and unescaped; the loss text from
+    the segments under the loss mask. Both are linear in the conversation.
     """
     quoted = lambda s: "\\Q" + s + "\\E"
     parts = F.split("formatted", quoted(template.close))
@@ -109,8 +110,7 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
         return F.struct(unescape(F.substring(body, F.lit(1), at - 1), template).alias("role"),
                         unescape(F.substring(body, at + len(template.head), F.lit(2147483647)), template).alias("text"))
 
-    loss = F.transform("loss_spans", lambda s: F.substring(
-        F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))
+    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"])
     return formatted.select("conv_id", "valid", F.transform(parts, turn).alias("turns"),
                             unescape(F.array_join(loss, ""), template).alias("loss_text"),
                             F.char_length("formatted").cast("long").alias("formatted_chars"))
@@ -131,18 +131,23 @@ PROBE_ID, PROBE_TEXT = -1, "</s>[INST] ok [/INST]"
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """The conversations and conversation -1: a user, then an assistant row, both full of control strings."""
+    """The conversations and conversation -1: a user, then an assistant row, both full of control strings.
+
+    Rows that already have the id -1 are replaced by it.
+    """
     spark = conversations.sparkSession
     probe = spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
     kinds = dict(conversations.dtypes)
     columns = ("conv_id", "turn", "role", "text")
-    return conversations.select(*columns).unionByName(probe.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]))
+    others = conversations.select(*columns).where(~F.col("conv_id").eqNullSafe(F.lit(PROBE_ID)))
+    return others.unionByName(probe.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]))
 
 
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS DISTINCT FROM -1
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), e AS (
   SELECT *, length(role) + length(text) + 12
