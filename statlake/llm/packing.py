@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from statlake.llm.common import materialize, word_count
 
@@ -69,9 +70,9 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: fl
 
     Tokens are words. A text longer than the largest capacity is cut into
     pieces of that length and a rest (``start``: its first word), so no token
-    is lost. Pieces are packed in shards of about ``shard_pieces`` (dealt
-    evenly, whatever the ids), each by best fit; the shards grow in number,
-    not in size. A row without words (null or empty text) returns once with
+    is lost. Pieces are packed in shards of about ``shard_pieces`` (dealt by a
+    hash of their values, so the bins do not depend on the layout of the
+    files), each by best fit; the shards grow in number, not in size. A row without words (null or empty text) returns once with
     n_tokens 0 and no bin. Repeated rows are packed each; null ids stay null;
     other columns are ignored; an empty table gives no rows.
     """
@@ -82,7 +83,10 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: fl
                            F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("long").alias("n_tokens"))
     pieces = materialize(pieces, "pack-pieces")
     shards = max(1, -(-pieces.where("n_tokens > 0").count() // shard_pieces))
-    placed = pieces.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    # rows that repeat in all of these are told apart by a number: they are alike, so its order does not matter
+    alike = W.partitionBy("doc_id", "piece", "n_tokens").orderBy(F.lit(1))
+    placed = (pieces.where("n_tokens > 0").withColumn("tie", F.row_number().over(alike))
+              .withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.col("piece"), F.col("n_tokens"), F.col("tie")), F.lit(shards))).drop("tie"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
