@@ -195,23 +195,32 @@ def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dist
 
 
 def keep_one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """One document of each group of :func:`simhash_groups`, with all columns of ``docs``.
+    """One row of each group of :func:`simhash_groups`, with all columns of ``docs``.
 
-    It is the one with the group's smallest doc_id; rows that repeat this
-    doc_id count as one document. Of a group without any doc_id one row stays.
+    It is the row with the group's smallest doc_id (rows without one come
+    last); of several such rows that with the least fingerprint, then the
+    least digest of all its columns. A doc_id that repeats with texts of
+    different groups so keeps a row in each group.
     """
     fps, classes = _groups(docs, shingle_words, max_distance)
-    keep = fps.join(classes, "fp").where((F.col("id") == F.col("component")) & (F.col("id") != NO_ID)).select("id").distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["id"], "left_semi").dropDuplicates(["doc_id"])
+    repeated = fps.groupBy("id").count().where((F.col("count") > 1) | (F.col("id") == NO_ID)).select(F.col("id").alias("again"))
+    chosen = fps.join(classes, "fp").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("m")).select("root", "m.*")
+    # an id of one row names its text: such rows are found by id alone
+    single = chosen.join(repeated, F.col("id") == F.col("again"), "left_anti").select("id")
+    alone = docs.join(single, docs["doc_id"] == single["id"], "left_semi")
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         fps = [simhash(None if t is None else bytes(t), shingle_words) for t in texts]
         return pd.Series(np.array(fps, np.uint64).view(np.int64))
 
-    fp, root = fresh(docs, "fp"), fresh(docs, "root")
-    alone = classes.where(F.col("component") == NO_ID).select(F.col("fp").alias(fp), F.col("root").alias(root))
-    unnamed = (docs.where(F.col("doc_id").isNull())
+    own, fp, root, tie = (fresh(docs, c) for c in ("own_id", "own_fp", "own_root", "own_tie"))
+    several = docs.withColumn(own, long_id("doc_id"))
+    several = (several.join(repeated, several[own] == repeated["again"], "left_semi")
                .withColumn(fp, fingerprint(F.encode(F.col("text").cast("string"), "utf-8")))
-               .join(alone, fp).dropDuplicates([root]).select(*docs.columns))
-    return named.unionByName(unnamed)
+               .withColumn(tie, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)))
+    named = chosen.select(F.col("id").alias(own), F.col("fp").alias(fp), F.col("root").alias(root))
+    several = several.join(named, [own, fp])
+    least = several.groupBy(root).agg(F.min(tie).alias(tie))
+    several = several.join(least, [root, tie], "left_semi").dropDuplicates([root]).select(*docs.columns)
+    return alone.unionByName(several)
