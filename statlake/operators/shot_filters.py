@@ -59,7 +59,8 @@ class ShotFilters:
         if not self.has_subject:
             raise ValueError("Provide exactly one player_id or team_id")
 
-    def context(self) -> Column:
+    def context(self, stored: bool = False) -> Column:
+        """The predicates that the league keeps, over enriched shots or (``stored``) over the league baseline."""
         preds: list[Column] = []
         for value, col in (
             (self.season, "season"),
@@ -75,7 +76,10 @@ class ShotFilters:
             preds.append(F.col("game_date") >= F.lit(_as_date(self.date_from)))
         if self.date_to is not None:
             preds.append(F.col("game_date") <= F.lit(_as_date(self.date_to)))
-        if self.home_away == "home":
+        if stored:
+            if self.home_away is not None:
+                preds.append(F.col("venue") == self.home_away.capitalize())
+        elif self.home_away == "home":
             preds.append(F.col("home_team_id") == F.col("team_id"))
         elif self.home_away == "away":
             preds.append(F.col("away_team_id") == F.col("team_id"))

@@ -1,33 +1,38 @@
 """Season replacement and publication (K4-K8, M1-M7): write-audit-publish of dataset versions.
 
-A dataset store is a folder of immutable versions plus a pointer folder::
-
-    <root>/versions/<version>/<table>/...   parquet, facts partitioned by season
-    <root>/pointers/<seq>-<version>          empty marker files; the highest seq is current
-
-A replacement builds the next version from the current one and the new season
-(upsert dimensions, drop the season's fact rows, add the new rows, recompute
-season metadata), writes it to a fresh folder, verifies the written tables, and
-only then adds a pointer file (a single create + rename). A failure at any step
-leaves the previous pointer current, so readers never see a partial version;
-a job killed mid-write leaves only an unreferenced folder.
+A dataset store is a folder of immutable table parts and a sequence of manifests::
+
+    <root>/data/<fact>/season=<season>/version=<version>/...   parquet
+    <root>/data/<table>/version=<version>/...                  dimensions, seasons
+    <root>/manifests/<sequence>.json                           which parts make up a version
+
+A replacement writes the parts of one season (and the small dimension and
+seasons tables) under a new version name, verifies what was written, and then
+creates the next manifest, which names the new parts and every other part of
+the manifest it started from. Parts of other seasons are neither read as a
+whole nor written. Manifests are created only if absent: of two publishers that
+started from the same version one gets the next number, the other is refused
+(:class:`StaleVersionError`). A failure or a killed job leaves unreferenced
+parts and the previous version current; readers never see a partial version.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from statlake import schemas
 from statlake.functions.expr import season_end_year, season_start_year
 from statlake.plans import browse, quality, season as season_q
+from statlake.plans.league import CONTEXT, ZONE, league_counts
 from statlake.sources import files
-from statlake.sources.tables import Tables, read_tables, write_tables
+from statlake.sources.tables import Tables
 
 FACTS = ("games", "team_game_stats", "player_game_stats", "shot_attempts")
 
@@ -36,6 +41,10 @@ class SeasonLifecycleError(RuntimeError):
     pass
 
 
+class StaleVersionError(SeasonLifecycleError):
+    """Another version was published since this one's base was read."""
+
+
 # --- table mutations (K4-K7) ----------------------------------------------------------
 def upsert(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """K4: INSERT ... ON CONFLICT (key) DO UPDATE as anti join + union."""
@@ -92,8 +101,8 @@ def build_manifest(spark: SparkSession, clean_root: str, season: str, report: di
     paths = files.dataset_paths(clean_root, season)
     data = files.load_dataset(spark, clean_root, season)
     counts = {name: df.count() for name, df in data.items()}
-    entries = [{"name": name, "path": p, "sha256": files.table_digest(spark, p), "rows": counts[name]}
-               for name, p in paths.items()]
+    digests = {r["name"]: r.sha256 for r in files.table_digests(spark, paths).collect()}  # one row a table
+    entries = [{"name": name, "path": p, "sha256": digests[name], "rows": counts[name]} for name, p in paths.items()]
     return {"schema_version": 3, "season": season, "season_type": "Regular Season",
             "generated_at": dt.datetime.now(dt.UTC).isoformat(), "files": entries,
             "counts": counts, "verification": {"status": report["status"], "mismatch_count": report.get("mismatch_count", 0)},
@@ -109,10 +118,13 @@ def verify_manifest(spark: SparkSession, clean_root: str, season: str, manifest:
     if set(listed) != set(paths):
         raise SeasonLifecycleError("Manifest file set does not match the dataset")
 
+    expected = spark.createDataFrame([(name, e["sha256"]) for name, e in listed.items()], "name string, expected string")
+
     def check_digests() -> None:
-        for name, p in paths.items():
-            if files.table_digest(spark, p) != listed[name]["sha256"]:
-                raise SeasonLifecycleError(f"{name} digest does not match the manifest")
+        found = files.table_digests(spark, paths).join(expected, "name", "full")
+        wrong = [r["name"] for r in found.where(~F.col("sha256").eqNullSafe(F.col("expected"))).select("name").orderBy("name").collect()]
+        if wrong:
+            raise SeasonLifecycleError("digest differs from the manifest: " + ", ".join(wrong))
 
     check_digests()
     data = files.load_dataset(spark, clean_root, season)
@@ -162,7 +174,8 @@ def season_ids(t: Tables) -> DataFrame:
 def verify_written(t: Tables, season: str, expected_counts: dict[str, int], expected_players: int,
                    manifest_sha256: str | None, single_season: bool) -> None:
     """M3: counts equal the manifest, integrity predicate holds, metadata tuple equal,
-    and with ``single_season`` no other season, no stale rows."""
+    and with ``single_season`` no other season, no stale rows. ``expected_counts``: what
+    the writing tasks counted; the written tables are counted from their Parquet footers."""
     s = t.for_season(season)
     counts = {n: getattr(s, n).count() for n in FACTS}
     for n, c in counts.items():
@@ -188,63 +201,179 @@ def verify_written(t: Tables, season: str, expected_counts: dict[str, int], expe
 
 
 # --- the store (K8) --------------------------------------------------------------------
+#: Tables of a store that are kept by season: the facts and the league baseline.
+BY_SEASON = (*FACTS, "league")
+_SORT = ("team_id", "home_team_id", "player_id", "game_id", "id")
+_NO_SEASON = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the folder of rows without a season
+
+
 @dataclass
 class DatasetStore:
     spark: SparkSession
     root: str
 
-    def _pointers(self) -> list[str]:
-        return [n for n in files.list_names(self.spark, f"{self.root}/pointers") if not n.startswith(".")]
+    # --- manifests
+    def sequences(self) -> list[int]:
+        names = files.list_names(self.spark, f"{self.root}/manifests")
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _manifest_path(self, sequence: int) -> str:
+        return f"{self.root}/manifests/{sequence:012d}.json"
+
+    def manifest(self, sequence: int | None = None) -> dict | None:
+        """The manifest of that number, or the current (highest) one; None for an empty store."""
+        if sequence is None:
+            known = self.sequences()
+            if not known:
+                return None
+            sequence = known[-1]
+        return json.loads(files.read_text(self.spark, self._manifest_path(sequence)))
 
     def current_version(self) -> str | None:
-        ptrs = self._pointers()
-        if not ptrs:
-            return None
-        return max(ptrs, key=lambda n: int(n.split("-", 1)[0])).split("-", 1)[1]
+        m = self.manifest()
+        return None if m is None else m["version"]
+
+    def publish(self, manifest: dict) -> None:
+        """Make ``manifest`` the version after its base, unless there is one already (compare and set)."""
+        if not files.create_if_absent(self.spark, self._manifest_path(manifest["sequence"]), json.dumps(manifest, sort_keys=True, indent=1) + "\n"):
+            raise StaleVersionError(f"another version was published after {manifest['base']}")
 
+    # --- tables
     def read(self, version: str | None = None) -> Tables | None:
-        v = version or self.current_version()
-        return None if v is None else read_tables(self.spark, f"{self.root}/versions/{v}")
+        """The tables of the current version, or of the version of that name."""
+        if version is None:
+            m = self.manifest()
+            return None if m is None else self.tables(m)
+        for sequence in reversed(self.sequences()):
+            m = self.manifest(sequence)
+            if m["version"] == version:
+                return self.tables(m)
+        raise KeyError(version)
+
+    def part(self, table: str, season: str | None, version: str) -> str:
+        """The folder of one part."""
+        folder = f"season={_NO_SEASON if season is None else season}/" if table in BY_SEASON else ""
+        return f"{self.root}/data/{table}/{folder}version={version}"
+
+    def tables(self, manifest: dict) -> Tables:
+        frames = {}
+        for name, schema in schemas.TABLES.items():
+            parts = manifest["parts"][name]
+            paths = [self.part(name, s, v) for s, v in parts.items()] if name in BY_SEASON else [self.part(name, None, parts)]
+            frames[name] = self._read(name, paths, schema)
+        league = [self.part("league", s, v) for s, v in manifest["parts"]["league"].items()]
+        return Tables(**frames, league=self._read("league", league, None))
+
+    def _read(self, table: str, paths: list[str], schema) -> DataFrame:
+        if schema is None:  # the baseline's columns have the types of the tables it is counted from
+            schema = league_counts(Tables(**{n: self.spark.createDataFrame([], s) for n, s in schemas.TABLES.items()})).schema
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/data/{table}")
+        return reader.parquet(*paths).select(*schema.fieldNames())
+
+    # --- writing
+    def _write(self, df: DataFrame, table: str, season: str | None, version: str) -> int:
+        """Write one part; its rows as counted by the writing tasks. A row of another season fails the write."""
+        sort = [c for c in _SORT if c in df.columns]
+        if table in BY_SEASON:
+            df = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
+        # above the sort: the sampling for the ranges runs what lies below twice
+        seen = Observation()
+        wrong = ~F.col("season").eqNullSafe(F.lit(season)) if table in BY_SEASON else F.lit(False)
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(wrong).alias("wrong"))
+        if table in BY_SEASON:
+            df = df.drop("season")  # the folder has it
+        df.write.parquet(self.part(table, season, version))
+        counted = seen.get
+        if counted["wrong"]:
+            raise SeasonLifecycleError(f"{counted['wrong']} {table} rows are not of season {season}")
+        return int(counted["rows"])
+
+    def _new_version(self) -> str:
+        return dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
+
+    def import_tables(self, t: Tables) -> str:
+        """Publish a whole multi-season dataset as it is, as the version after the current one."""
+        base, version = self.manifest(), self._new_version()
+        parts: dict = {}
+        whole = t.as_dict() | {"league": league_counts(t)}
+        for name, df in whole.items():
+            if name not in BY_SEASON:
+                self._write(df.select(*schemas.TABLES[name].fieldNames()), name, None, version)
+                parts[name] = version
+                continue
+            sort = ["season", *(c for c in _SORT if c in df.columns)]
+            ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("version", F.lit(version))
+            # appended under one folder a season; only this version's folders are listed afterwards
+            ranged.write.mode("append").partitionBy("season", "version").parquet(f"{self.root}/data/{name}")
+            seasons = [n.removeprefix("season=") for n in files.list_names(self.spark, f"{self.root}/data/{name}") if n.startswith("season=")]
+            parts[name] = {s: version for s in seasons if files.exists(self.spark, self.part(name, s, version))}
+        self.publish(self._next(base, version, parts))
+        return version
+
+    def _next(self, base: dict | None, version: str, parts: dict) -> dict:
+        before = 0 if base is None else base["sequence"]
+        return {"sequence": before + 1, "base": before, "version": version, "parts": parts}
 
-    def publish(self, version: str) -> None:
-        ptrs = self._pointers()
-        seq = 1 + max((int(n.split("-", 1)[0]) for n in ptrs), default=0)
-        files.write_text_atomic(self.spark, f"{self.root}/pointers/{seq:012d}-{version}", version + "\n")
+    def _strays(self, base: Tables, season: str) -> dict[str, list[str | None]]:
+        """Seasons, by table, that hold fact rows of the season's games under another season (K7 drops them too)."""
+        games = base.games.where(F.col("season") == season).select(F.col("id").alias("game_id")).distinct()
+        found = {}
+        for n in FACTS[1:]:
+            other = getattr(base, n).where(~F.col("season").eqNullSafe(F.lit(season))).select("game_id", "season")
+            found[n] = [r.season for r in other.join(games, "game_id", "left_semi").select("season").distinct().collect()]  # seasons at most
+        return found
 
     def replace_season(self, new: Tables, season: str, *, single_season: bool = False,
                        manifest_sha256: str | None = None, manifest_generated_at: dt.datetime | None = None,
                        verify=None) -> str:
-        """K8: build, write, verify and publish the next version; the current one stays
-        readable until the pointer is added, and stays current on any failure."""
-        base = self.read()
-        if base is None:
-            empty = {n: self.spark.createDataFrame([], s) for n, s in schemas.TABLES.items()}
-            base = Tables(**empty)
-        teams = upsert(base.teams, new.teams, ["id"])
-        players = upsert(base.players, new.players, ["id"])
-        if single_season:
-            teams = prune_not_in(teams, new.teams, ["id"])
-            players = prune_not_in(players, new.players, ["id"])
-            kept = Tables(seasons=base.seasons.limit(0), teams=teams, players=players,
-                          **{n: getattr(new, n).limit(0) for n in FACTS})
-        else:
-            kept = delete_season_by_game(base, season)
-        facts = {n: getattr(kept, n).unionByName(getattr(new, n).select(*schemas.TABLES[n].fieldNames())) for n in FACTS}
-        staged = Tables(seasons=kept.seasons, teams=teams, players=players, **facts)
+        """K8: write and verify the season's parts and publish the next version.
+
+        Only the season's own parts are written, and those of another season
+        that holds rows of its games. The current version stays readable until
+        the manifest is created, and stays current on any failure. If another
+        version was published meanwhile, this one is refused.
+        """
+        manifest = self.manifest()
+        empty = Tables(**{n: self.spark.createDataFrame([], s) for n, s in schemas.TABLES.items()})
+        base = empty if manifest is None else self.tables(manifest)
+        version = self._new_version()
+        parts = {n: {} if single_season or manifest is None else dict(manifest["parts"][n]) for n in BY_SEASON}
+        known = manifest is not None and not single_season and season in manifest["parts"]["games"]
+        for table, seasons in (self._strays(base, season) if known else {}).items():
+            games = base.games.where(F.col("season") == season).select(F.col("id").alias("game_id"))
+            for other in seasons:
+                kept = getattr(base, table).where(F.col("season").eqNullSafe(F.lit(other))).join(games, "game_id", "left_anti")
+                self._write(kept.select(*schemas.TABLES[table].fieldNames()), table, other, version)
+                parts[table][_NO_SEASON if other is None else other] = version
+        expected = {}
+        for n in FACTS:
+            expected[n] = self._write(getattr(new, n).select(*schemas.TABLES[n].fieldNames()), n, season, version)
+            parts[n][season] = version
+        for n in ("teams", "players"):
+            rows = upsert(getattr(base, n), getattr(new, n), ["id"])
+            rows = prune_not_in(rows, getattr(new, n), ["id"]) if single_season else rows
+            count = self._write(rows.select(*schemas.TABLES[n].fieldNames()), n, None, version)
+            expected[n] = getattr(new, n).count() if single_season else count
+            parts[n] = version
+        # what follows is read from the parts just written: the season's metadata and its league baseline
+        staged = Tables(seasons=base.seasons, **{
+            n: self._read(n, [self.part(n, season if n in BY_SEASON else None, version)], schemas.TABLES[n]) for n in ("teams", "players", *FACTS)})
+        others = base.seasons.limit(0) if single_season else base.seasons.where(F.col("id") != season)
         meta = season_row(staged, season, manifest_sha256, manifest_generated_at)
-        staged = Tables(seasons=kept.seasons.unionByName(meta), teams=teams, players=players, **facts)
-        version = dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
-        path = f"{self.root}/versions/{version}"
-        write_tables(staged, path)
-        written = read_tables(self.spark, path)
-        expected = {n: getattr(new, n).count() for n in ("teams", "players", *FACTS)}
-        players_count = new.player_game_stats.select("player_id").distinct().count()
+        self._write(others.unionByName(meta).select(*schemas.SEASONS.fieldNames()), "seasons", None, version)
+        self._write(league_counts(staged).select(*CONTEXT, *ZONE, "attempts", "makes"), "league", season, version)
+        parts |= {"seasons": version, "league": parts["league"] | {season: version}}
+        following = self._next(manifest, version, parts)
+        written = self.tables(following)
+        players_count = written.for_season(season).player_game_stats.select("player_id").distinct().count()
         verify_written(written, season, expected, players_count, manifest_sha256, single_season)
         if verify == "quality":
             quality.run_quality_checks(written.for_season(season))
         elif callable(verify):
             verify(written)
-        self.publish(version)
+        self.publish(following)
         return version
 
 

@@ -19,9 +19,12 @@ class Tables:
     team_game_stats: DataFrame
     player_game_stats: DataFrame
     shot_attempts: DataFrame
+    #: The stored league baseline (see plans/league.py), where there is one.
+    league: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        """The star schema's tables by name."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "league"}
 
     def register(self, prefix: str = "") -> "Tables":
         """Expose every table as a temp view (``prefix`` + name) for SQL users."""
@@ -42,6 +45,7 @@ class Tables:
             team_game_stats=self.team_game_stats.where(pred),
             player_game_stats=self.player_game_stats.where(pred),
             shot_attempts=self.shot_attempts.where(pred),
+            league=None if self.league is None else self.league.where(pred),
         )
 
 
@@ -77,3 +81,35 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists") -> None
             writer_df.write.mode(mode).partitionBy("season").parquet(f"{root.rstrip('/')}/{name}")
         else:
             writer_df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+
+
+#: Tables that meet by game, and their column of the game's id.
+GAME_COLUMN = {"games": "id", "team_game_stats": "game_id", "player_game_stats": "game_id", "shot_attempts": "game_id"}
+
+
+def save_bucketed(tables: Tables, prefix: str, buckets: int, root: str | None = None) -> None:
+    """Save a version as catalog tables ``<prefix>_<table>``, games and facts bucketed and sorted by game.
+
+    Rules and cross-checks join and group by game; over this layout they do so
+    without an exchange. With joins on (game, team) or (game, player) that
+    needs :func:`join_by_bucket`. The tables lie under ``root``, by default in
+    the session's warehouse; either must be shared.
+    """
+    for name, df in tables.as_dict().items():
+        writer = df.select(*schemas.TABLES[name].fieldNames())
+        if name in GAME_COLUMN:
+            game = GAME_COLUMN[name]
+            writer = writer.repartition(buckets, game).write.bucketBy(buckets, game).sortBy(game)
+        else:
+            writer = writer.write
+        writer = writer if root is None else writer.option("path", f"{root.rstrip('/')}/{name}")
+        writer.format("parquet").mode("errorifexists").saveAsTable(f"{prefix}_{name}")
+
+
+def read_bucketed(spark: SparkSession, prefix: str) -> Tables:
+    return Tables(**{name: spark.table(f"{prefix}_{name}") for name in schemas.TABLES})
+
+
+def join_by_bucket(spark: SparkSession) -> None:
+    """Let joins on a game and more keys use tables that are bucketed by the game alone."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
