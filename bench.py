@@ -18,7 +18,11 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from dataclasses import replace  # noqa: E402
+
+from statlake.operators import rules  # noqa: E402
 from statlake.plans import quality, season, shots  # noqa: E402
+from statlake.plans.league import league_counts  # noqa: E402
 from statlake.session import local_session  # noqa: E402
 from statlake.sources.seeded import core_roster  # noqa: E402
 from statlake.sources.tables import read_tables, write_tables  # noqa: E402
@@ -32,6 +36,8 @@ HEADLINE = {
     "Q28_leaders": season.leaders,
     "Q29_standings": season.standings,
     "D24_shots_reconcile": quality.d24_shots_reconcile,
+    "V_contract": lambda t: rules.violation_counts(rules.contract_report(rules.as_text(t))),
+    "D27_quality_report": quality.quality_report,
 }
 
 
@@ -48,6 +54,8 @@ def main() -> None:
     write_tables(derive(spark, sf_dir), f"{root}/v1")
     build = time.time() - t0  # of the first version
     tables = read_tables(spark, f"{root}/v1")
+    league_counts(tables).write.partitionBy("season").parquet(f"{root}/league")  # as a published version brings it
+    tables = replace(tables, league=spark.read.schema(league_counts(tables).schema).parquet(f"{root}/league"))
     # the leaders' games threshold is met only by regular players: theirs is a version of its own
     write_tables(core_roster(tables), f"{root}/v2")
     versions = {"Q28_leaders": read_tables(spark, f"{root}/v2")}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from statlake.functions.expr import contains_ci
 from statlake.operators.legs import opponent_of, team_legs
+from statlake.operators.positions import page_at, with_positions
 from statlake.sources.tables import Tables
 
 
@@ -110,6 +111,27 @@ def players(t: Tables, search: str | None = None, active: bool | None = None,
     return rows.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
+def _player_order() -> list[Column]:
+    return [F.col("full_name"), F.col("id")]
+
+
+def players_page_at(t: Tables, limit: int, offset: int) -> DataFrame:
+    """Q7 at any depth: positions come from sorted parts and their counts, so no task holds ``offset + limit`` rows."""
+    return page_at(t.players, _player_order(), limit, offset, "players-page")
+
+
+def players_after(t: Tables, full_name: str, player_id: int, limit: int = 50) -> DataFrame:
+    """Q7 by continuation: the ``limit`` players after the last one of a page (a bounded top-k, whatever the depth)."""
+    _check_page(limit, 0, 500)
+    after = (F.col("full_name") > full_name) | ((F.col("full_name") == full_name) & (F.col("id") > player_id))
+    return t.players.where(after).orderBy(*_player_order()).limit(limit)
+
+
+def in_order(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """A whole list in the product's order, with ``position``."""
+    return with_positions(df, order, label).drop("total")
+
+
 def player(t: Tables, player_id: int) -> DataFrame:
     """Q8: one player by id (F1)."""
     return t.players.where(F.col("id") == player_id)

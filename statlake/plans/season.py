@@ -36,6 +36,12 @@ def standings(t: Tables, season: str | None = None) -> DataFrame:
     )
 
 
+def standings_in_order(t: Tables) -> DataFrame:
+    """Q29 with each team's ``position`` in its season (wins, then fewer losses, name, id)."""
+    order = Window.partitionBy("season").orderBy(F.col("wins").desc(), "losses", "team_name", "team_id")
+    return standings(t).withColumn("position", F.row_number().over(order).cast("bigint"))
+
+
 def standings_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("wins").desc(), F.col("losses").asc(), "team_name", "team_id")
 

@@ -28,7 +28,10 @@ from statlake.functions.expr import (
     ratio_dec,
 )
 from statlake.operators.joins import null_safe_join
+from statlake.operators.positions import with_positions
 from statlake.operators.shot_filters import SUBJECT, ShotFilters, enriched_shots, with_subjects
+from statlake.sources.files import write_json_atomic
+from statlake.sources.stored import stored
 from statlake.sources.tables import Tables
 
 ZONE = ["zone_basic", "zone_area", "zone_range"]
@@ -59,8 +62,11 @@ def subject_shots(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
 
 
 def league_context(t: Tables, f: ShotFilters = ShotFilters(), by: list[str] | None = None) -> DataFrame:
-    """Q16: league fg_pct per season (and ``by``) under the context predicates only."""
+    """Q16: league fg_pct per season (and ``by``) under the context predicates only; from the stored baseline if there is one."""
     keys = ["season"] + (by or [])
+    if t.league is not None:
+        return t.league.where(f.context(stored=True)).groupBy(*keys).agg(
+            ratio_dec(F.sum("makes"), F.sum("attempts"), 3).alias("league_fg_pct"))
     ctx = enriched_shots(t).where(f.context())
     n = F.count(F.lit(1))
     return ctx.groupBy(*keys).agg(ratio_dec(F.count_if(F.col("shot_made")), n, 3).alias("league_fg_pct"))
@@ -69,8 +75,9 @@ def league_context(t: Tables, f: ShotFilters = ShotFilters(), by: list[str] | No
 def _with_league(agg: DataFrame, t: Tables, f: ShotFilters, by: list[str]) -> DataFrame:
     """Attach the league baseline (context without subject, no ``made`` filter).
 
-    The league is its own grouped aggregate over the context shots, combined
-    map-side to one row per (season, ``by``) and joined back as a small table.
+    The league is its own grouped aggregate over the stored baseline (without
+    one, over the context shots), combined map-side to one row per (season,
+    ``by``) and joined back as a small table.
     (A window over the aggregated subject rows would read the shots once, but
     it puts every subject of a season -- or season and zone -- into one task.)
     """
@@ -102,9 +109,10 @@ def shot_sample(t: Tables, f: ShotFilters = ShotFilters(), max_points: int = 250
     """Q17: per subject the first ``max_points`` attempts by md5(game_id:event_id), and
     ``truncated`` = subject total > max_points.
 
-    ``row_number() <= k`` per subject is planned with a partial WindowGroupLimit
-    ahead of the shuffle, so each task ships at most k rows per subject; totals
-    come from a grouped count, not from a window over the whole subject.
+    ``row_number() <= k + 1`` per subject is planned with a partial
+    WindowGroupLimit ahead of the shuffle, so each task ships at most k + 1 rows
+    per subject; the row beyond the sample is the one sign that it is cut, so
+    the shots are read once.
     """
     if max_points < 1:
         raise ValueError("max_points must be positive")
@@ -120,15 +128,15 @@ def shot_sample(t: Tables, f: ShotFilters = ShotFilters(), max_points: int = 250
     s = s.withColumn("part_group", F.spark_partition_id() % F.lit(groups))
     first = s.withColumn(
         "group_rank", F.row_number().over(Window.partitionBy(*SUBJECT, "part_group").orderBy("sample_key"))
-    ).where(F.col("group_rank") <= max_points)
+    ).where(F.col("group_rank") <= max_points + 1)
     w = Window.partitionBy(*SUBJECT).orderBy("sample_key")
-    sample = first.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= max_points)
-    totals = s.groupBy(*SUBJECT).agg(F.count(F.lit(1)).alias("total"))
-    return sample.join(totals, SUBJECT).select(
+    # one row beyond the sample tells whether the subject has more than that
+    sample = first.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= max_points + 1)
+    sample = sample.withColumn("truncated", F.max("sample_rank").over(Window.partitionBy(*SUBJECT)) > max_points)
+    return sample.where(F.col("sample_rank") <= max_points).select(
         *SUBJECT, F.col("sample_rank").cast("bigint").alias("sample_rank"), "game_id", "event_id", "player_id",
         "player_name", "team_id", "team_abbr", "opponent_id", "opponent_abbr", "period", "minutes_remaining",
-        "seconds_remaining", "action_type", "shot_type", *ZONE, "shot_distance", "loc_x", "loc_y", "shot_made",
-        (F.col("total") > max_points).alias("truncated"),
+        "seconds_remaining", "action_type", "shot_type", *ZONE, "shot_distance", "loc_x", "loc_y", "shot_made", "truncated",
     )
 
 
@@ -289,6 +297,30 @@ def player_team_pairs(t: Tables) -> DataFrame:
     ).distinct()
 
 
+def _zone_stats(counts: DataFrame, subject_type: str, subject: str) -> DataFrame:
+    """Zone rows of one kind of subject from counts per (season, player, team, zone)."""
+    sums = counts.groupBy("season", F.col(subject).alias("subject_id"), *ZONE).agg(*[F.sum(c).alias(c) for c in ("attempts", "makes", "points")])
+    total = F.sum("attempts").over(Window.partitionBy("season", "subject_id"))
+    n = F.col("attempts")
+    return sums.select("season", F.lit(subject_type).alias("subject_type"), "subject_id", *ZONE, "attempts", "makes",
+                       ratio(F.col("makes"), n, 3).alias("fg_pct"), F.coalesce(ratio(n, total, 3), F.lit(0.0)).alias("frequency"),
+                       ratio(F.col("points"), n, 3).alias("points_per_shot"))
+
+
+def player_team_comparison(t: Tables) -> DataFrame:
+    """Q37 for every player against each team they shot for in a season.
+
+    The shots are counted once per (season, player, team, zone) and stored;
+    both sides and the pairs are read from these counts.
+    """
+    counts = stored(enriched_shots(t).groupBy("season", "player_id", "team_id", *ZONE).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("shot_made")).alias("makes"), F.sum(points_value()).alias("points")), "zone-counts")
+    zones = _zone_stats(counts, "player", "player_id").unionByName(_zone_stats(counts, "team", "team_id"))
+    pairs = counts.select("season", F.lit("player").alias("a_type"), F.col("player_id").alias("a_id"),
+                          F.lit("team").alias("b_type"), F.col("team_id").alias("b_id")).distinct()
+    return shot_compare(zones, pairs)
+
+
 def shot_players(t: Tables) -> DataFrame:
     """Q11: per season, players having attempts (EXISTS -> semi join on (season, player))."""
     having = t.shot_attempts.select("season", F.col("player_id").alias("id")).distinct()
@@ -320,15 +352,42 @@ def shot_export_rows(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
     return enriched_shots(t).where(f.subject()).select(*EXPORT_COLUMNS)
 
 
+EXPORT_ORDER = ["game_date", "game_id", "event_id"]
+
+
+def export_shots(t: Tables, f: ShotFilters, path: str, max_rows: int | None = None) -> list[dict]:
+    """K2: the matching attempts as CSV part files in order, with ``_parts.json`` beside them.
+
+    The rows are range-partitioned and sorted, so any number of tasks write
+    them, and part after part they are in order. The list of parts, also
+    returned, gives each file's rows, the rows before it and its first and
+    last key; it is read from the written files. More than ``max_rows`` rows
+    are refused (counted with a limit, so the check never scans past it).
+    """
+    spark = t.shot_attempts.sparkSession
+    rows = shot_export_rows(t, f)
+    if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
+        raise OverflowError(f"more than {max_rows} rows to export")
+    rows.repartitionByRange(*EXPORT_ORDER).sortWithinPartitions(*EXPORT_ORDER).write.mode("overwrite").option("header", True).csv(path)
+    text = ", ".join(f"{c} {'int' if c == 'event_id' else 'string'}" for c in EXPORT_COLUMNS)
+    written = spark.read.option("header", True).schema(text).csv(path)
+    parts = (written.groupBy(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"))
+             .agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*EXPORT_ORDER)).alias("first"), F.max(F.struct(*EXPORT_ORDER)).alias("last"))
+             .orderBy("first").collect())  # one row a file
+    listed, before = [], 0
+    for p in parts:
+        listed.append({"file": p["file"], "rows": p["rows"], "offset": before, "first": list(p["first"]), "last": list(p["last"])})
+        before += p["rows"]
+    write_json_atomic(spark, f"{path.rstrip('/')}/_parts.json", {"parts": listed, "rows": before, "order": EXPORT_ORDER})
+    return listed
+
+
 def export_shots_csv(t: Tables, f: ShotFilters, path: str) -> int:
-    """K2: write one subject's attempts as CSV (header even when empty), ordered by
-    (game_date, game_id, event_id); more than 20,000 rows is an error (counted
-    with a 20,001-row limit, so the check never scans past the cap)."""
+    """K2 in the product's form: one subject, at most EXPORT_LIMIT rows (header even when empty); the number of rows."""
     f.require_subject()
-    rows = shot_export_rows(t, f)
-    n = rows.limit(EXPORT_LIMIT + 1).count()
-    if n > EXPORT_LIMIT:
-        raise OverflowError("CSV export exceeds the 20,000-row limit")
-    (rows.orderBy("game_date", "game_id", "event_id").coalesce(1)
-     .write.mode("overwrite").option("header", True).csv(path))
-    return n
+    return sum(p["rows"] for p in export_shots(t, f, path, EXPORT_LIMIT))
+
+
+def export_positions(t: Tables, f: ShotFilters = ShotFilters()) -> DataFrame:
+    """Q14 in order: the export rows with ``position`` over all parts (and ``total``)."""
+    return with_positions(shot_export_rows(t, f), [F.col(c) for c in EXPORT_ORDER], "export")

@@ -296,12 +296,16 @@ TEXT_FAULTS = {
         "WHEN 54 THEN 'Infinity' WHEN 55 THEN NULL ELSE CAST(steals AS VARCHAR) END",
 }
 
+_MOVED = "CASE WHEN {c} <= 25 THEN {c} + 20000000 ELSE {c} END AS {c}"
 _ROSTER = f"""
 , fx_player_game_stats AS (
+  SELECT * REPLACE ({_MOVED.format(c='player_id')}) FROM player_game_stats
+  UNION ALL
   SELECT * REPLACE (CASE WHEN {_n('game_id')} % 2 = 1 AND team_id % 5 = 0 THEN team_id - 1 ELSE team_id END AS player_id)
   FROM player_game_stats
   QUALIFY row_number() OVER (PARTITION BY game_id, team_id ORDER BY player_id) = 1
-)"""
+),
+fx_players AS (SELECT * FROM players UNION ALL SELECT * REPLACE (id + 20000000 AS id) FROM players WHERE id <= 25)"""
 
 
 def _shadowed(changes: str, names: tuple[str, ...], body: str) -> str:
@@ -321,4 +325,4 @@ def with_faulty_seasons(body: str) -> str:
 
 
 def with_roster(body: str) -> str:
-    return _shadowed(_ROSTER, ("player_game_stats",), body)
+    return _shadowed(_ROSTER, ("player_game_stats", "players"), body)
