@@ -47,7 +47,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def resultset_rows(docs: DataFrame, index: int = 0) -> DataFrame:
     """Rows of result set ``index`` as (source_file, row_number, row map header -> text)."""
-    rs = docs.select("source_file", F.col("resultSets")[index].alias("rs"))
+    rs = docs.select("source_file", F.get("resultSets", F.lit(index)).alias("rs"))
     return rs.select(
         "source_file", F.col("rs.headers").alias("headers"),
         F.posexplode(F.col("rs.rowSet")).alias("row_number", "cells"),
@@ -76,7 +76,7 @@ def combine_partitioned_extract(docs: DataFrame, team_of_file: DataFrame, index:
     same headers, and every row the requested TEAM_ID. Checks are aggregates
     over all parts (one job); a breach raises with the count of bad parts.
     """
-    rs = docs.select("source_file", F.col("resultSets")[index].alias("rs"))
+    rs = docs.select("source_file", F.get("resultSets", F.lit(index)).alias("rs"))
     shape = rs.agg(
         F.count_if(F.col("rs").isNull() | (F.size(F.coalesce(F.col("rs.headers"), F.array())) == 0)
                    | (F.size(F.coalesce(F.col("rs.rowSet"), F.array())) == 0)).alias("empty_parts"),

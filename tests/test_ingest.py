@@ -60,6 +60,10 @@ def test_combine_partitioned_extract_contract(spark):
     _write(empty_dir, "team.json", {"resultSets": [{"name": "x", "headers": HEADERS, "rowSet": []}]})
     with pytest.raises(resultset.ExtractContractError):
         resultset.combine_partitioned_extract(resultset.read_documents(spark, empty_dir), mapping)
+    without = tempfile.mkdtemp(prefix="statlake-test-")
+    _write(without, "team.json", {"resultSets": []})
+    with pytest.raises(resultset.ExtractContractError, match="no result set"):
+        resultset.combine_partitioned_extract(resultset.read_documents(spark, without), mapping)
 
 
 def test_player_name_parsing(spark):
