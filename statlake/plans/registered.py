@@ -169,11 +169,79 @@ star("T4")(lambda t: tf.transform_team_game_stats(provider_feeds(t)["team_log"],
 star("T5")(lambda t: tf.transform_player_game_stats(provider_feeds(t)["player_log"], F.col("season")))
 star("T6")(lambda t: tf.transform_shot_attempts(provider_feeds(t)["shots"], F.col("season")))
 
+# --- landing: ledger of sources, result-set documents, substring index (S7, S1, S6, F6) ---
+from statlake.operators.substring import SubstringIndex  # noqa: E402
+from statlake.sources import ledger as lg  # noqa: E402
+from statlake.sources import resultset  # noqa: E402
+from statlake.sources.resultset_split import read_resultset_split  # noqa: E402
+from statlake.sources.stored import shared_path  # noqa: E402
+
+
+@star("S7")
+def _s7(t):
+    """The ledger after three landings of the team log, a source per team and season: the even teams; all, where every
+    fifth team's points were corrected; and all once more, which finds nothing to do."""
+    spark = t.games.sparkSession
+    feed = t.team_game_stats.select(
+        F.concat_ws("/", "season", F.concat(F.lit("team-"), F.col("team_id").cast("string"))).alias("source"), "team_id",
+        F.col("game_id").alias("GAME_ID"), F.col("points").alias("PTS"), F.col("rebounds").alias("REB"))
+    corrected = feed.withColumn("PTS", F.col("PTS") + (F.col("team_id") % 5 == 0).cast("int")).drop("team_id")
+    ledger = lg.LandingLedger(spark, shared_path(spark, "landing"))
+    ledger.land(feed.where(F.col("team_id") % 2 == 0).drop("team_id"))
+    ledger.land(corrected, take=lg.CHANGED)
+    ledger.land(corrected)
+    return ledger.latest()
+
+
+def _team_documents(t) -> str:
+    """Provider documents of the team log, one a team and season: the wanted result set comes second."""
+    cells = F.array("GAME_ID", "TEAM_ID", "MATCHUP", "PTS")
+    row = F.struct(F.col("GAME_ID").alias("k"), F.col("row_number").alias("n"), cells.alias("cells"))
+    season_rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["cells"])  # a team's games of one season
+    text = lambda *names: F.array(*[F.lit(n) for n in names])
+    none = text().cast("array<array<string>>")
+    document = F.to_json(F.struct(F.array(
+        F.struct(F.lit("Parameters ]").alias("name"), text("[A]").alias("headers"), none.alias("rowSet")),
+        F.struct(F.lit("TeamGameLogs").alias("name"), text("GAME_ID", "TEAM_ID", "MATCHUP", "PTS").alias("headers"),
+                 F.col("rows").alias("rowSet"))).alias("resultSets")), {"ignoreNullFields": "false"})
+    folder = shared_path(t.games.sparkSession, "documents")
+    log = provider_feeds(t)["team_log"]
+    (log.groupBy("season", F.col("TEAM_ID").alias("team")).agg(season_rows.alias("rows"))
+     .select("season", "team", document.alias("document")).write.partitionBy("season", "team").text(folder))
+    return folder
+
+
+def _document_rows(rows):
+    place = [F.regexp_extract("source_file", pattern, 1).alias(name) for pattern, name in
+             ((r"season=([^/]+)", "season"), (r"team=([^/]+)", "requested"))]
+    return resultset.columns(rows.select("*", *place), ["GAME_ID", "TEAM_ID", "MATCHUP", "PTS"], ("season", "requested", "row_number"))
+
+
+@star("S1")
+def _s1(t):
+    return _document_rows(read_resultset_split(t.games.sparkSession, _team_documents(t), 1))
+
+
+@star("S6")
+def _s6(t):
+    docs = resultset.read_documents(t.games.sparkSession, _team_documents(t))
+    return _document_rows(resultset.combine_partitioned_extract(docs, resultset.requested_team_by_file(docs, r"team=(\d+)/"), 1))
+
+
+@star("F6_index")
+def _f6_index(t):
+    """Players by pieces of other players' names, one to seven characters long, over the substring index."""
+    spark = t.games.sparkSession
+    index = SubstringIndex(spark, shared_path(spark, "substrings")).build(t.players, "full_name")
+    terms = t.players.where(F.col("id") % 50 == 0).select(
+        F.upper(F.substr(F.col("full_name"), (F.col("id") / 50 % 5 + 1).cast("int"), (F.col("id") / 50 % 7 + 1).cast("int"))).alias("term"))
+    return index.search_all(t.players, "full_name", terms)
+
+
 # --- table mutations and publication gates (K, M, U3, A14) --------------------------
 from dataclasses import replace  # noqa: E402
 
 from statlake.plans import publish as pub  # noqa: E402
-from statlake.sources.stored import shared_path  # noqa: E402
 
 
 def _latest_season(t) -> str:
