@@ -26,8 +26,9 @@ from statlake.operators.joins import null_safe_on
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, percentages: dict[str, float],
-                      partitions: int | None = None) -> DataFrame:
-    """One row per group with at least one non-null ``value``: keys + one double column per name."""
+                      partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """One row per group with at least one non-null ``value``: keys + one double column per name.
+    A row stands for ``weight`` equal ones (a whole number from 1), else for itself."""
     from statlake.session import checkpoint_dir
 
     spark = df.sparkSession
@@ -35,7 +36,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, percentages: d
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("v"))
-               .agg(F.count(F.lit(1)).alias("c")))
+               .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c")))
     chunked = (counted.repartitionByRange(n, *keys, "v")
                .withColumn("pid", F.spark_partition_id())
                .checkpoint(eager=True))

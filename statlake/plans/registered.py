@@ -316,6 +316,38 @@ def _r2(spark, sf_dir):
     return ev.request_metrics(tv.request_log(spark, sf_dir))
 
 
+from statlake.streaming import counts as ec  # noqa: E402
+
+
+def _in_two_runs(df, partials) -> str:
+    """The folder of counts after two runs of a stream over ``df``: the second brings the late rows (every 97th)."""
+    spark, folder = df.sparkSession, shared_path(df.sparkSession, "stream")
+    key = F.col(df.columns[0])
+    for late in (False, True):
+        df.where((key % 97 == 0) == F.lit(late)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        ec.land_batches(stream, f"{folder}/out", f"{folder}/checkpoint", partials).awaitTermination()
+    return f"{folder}/out"
+
+
+@raw("R1_stream")
+def _r1_stream(spark, sf_dir):
+    out = _in_two_runs(tv.usage_events(spark, sf_dir), ec.USAGE)
+    ec.fold(spark, out, "usage", ec.merge_usage)
+    return ec.merge_usage(ec.landed(spark, out, "usage"))
+
+
+@raw("R1_stream_quarantine")
+def _r1_stream_quarantine(spark, sf_dir):
+    return ec.landed(spark, _in_two_runs(tv.usage_events(spark, sf_dir), ec.USAGE), "quarantine")
+
+
+@raw("R2_stream")
+def _r2_stream(spark, sf_dir):
+    out = _in_two_runs(tv.request_log(spark, sf_dir), ec.REQUESTS)
+    return ec.metrics_of_counts(ec.landed(spark, out, "latencies"))
+
+
 @raw("R3")
 def _r3(spark, sf_dir):
     return ev.rate_limit(tv.request_log(spark, sf_dir), RATE_WINDOW_SECONDS, RATE_LIMIT)
