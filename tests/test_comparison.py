@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ def _optimized(df) -> str:
 def test_comparison_keeps_the_zones_of_one_side_and_null_zones(spark):
     rows = copy.deepcopy(seed_rows())
     rows["shot_attempts"][0].update(team_id=CELTICS)  # LeBron shoots once for the other team
-    rows["shot_attempts"][1].update(zone_area=None)
+    rows["shot_attempts"][1].update(zone_area="lost")
     t = frames(spark, rows)
+    t = replace(t, shot_attempts=t.shot_attempts.withColumn("zone_area", F.when(F.col("zone_area") != "lost", F.col("zone_area"))))
     counts = spark.createDataFrame(shots.enriched_shots(t).groupBy("season", "player_id", "team_id", *shots.ZONE).agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if("shot_made").alias("makes"), F.sum(shots.points_value()).alias("points")).collect())
     zones = [shots._zone_stats(counts, c).select("season", F.lit(k).alias("subject_type"), "subject_id", *shots.ZONE, *shots.COMPARED)
