@@ -45,10 +45,13 @@ class SubstringIndex:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def build(self, rows: DataFrame, text: str, key: str = "id") -> SubstringIndex:
-        postings = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.explode(text_grams(F.col(text))).alias("gram"))
-        # every task writes the buckets it has: a gram of very many texts stays spread over the tasks
-        (postings.withColumn("bucket", _bucket(F.col("gram"), self.buckets)).sortWithinPartitions("bucket", "gram", "id")
-         .write.partitionBy("bucket").parquet(f"{self.path}/postings"))
+        # a text has dozens of postings: the texts are dealt out before (a small file is one task's), the postings after,
+        # by ranges, so that no task sorts more than its share, also of a gram of very many texts, and few tasks share a bucket
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        texts = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).repartition(parts, "id")
+        postings = texts.select("id", F.explode(text_grams(F.col("text"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), self.buckets))
+        order = ["bucket", "gram", "id"]
+        (postings.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/postings"))
         counts = self.postings().groupBy("gram", "bucket").agg(F.count(F.lit(1)).alias("n"))
         counts.write.partitionBy("bucket").parquet(f"{self.path}/counts")
         return self
